@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -38,6 +39,17 @@ def map_texts(
     return df.select(*picked).mapInArrow(fn, schema)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Run the plan so far and go on from its rows, kept in the cluster's shared checkpoint folder,
+    so that a lost executor costs a reread and not a recomputation.  A folder of our own is used
+    only where the session names none, as in local tests."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skirmish-checkpoints-"))
+    return df.checkpoint()
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

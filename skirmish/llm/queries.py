@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode, token_counts
-from .common import table
+from .common import remainder_of, table
 from .decontamination import contamination
+from .language import identify, train
+from .repetition import repetition_rules
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,6 +25,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (remainder_of("doc_id", 4) == 2).alias("held_out")
+    model = train(docs.filter(~held_out))
+    return identify(docs.select("doc_id", "text", held_out), model, "doc_id", "text", "held_out")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -41,6 +54,8 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_repetition_rules": op2_repetition_rules,
+    "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
