@@ -12,6 +12,7 @@ from .common import remainder_of, table
 from .decontamination import contamination
 from .language import identify, train
 from .repetition import repetition_rules
+from .secret_scan import secret_spans
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,6 +30,10 @@ def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (remainder_of("doc_id", 4) == 2).alias("held_out")
@@ -55,6 +60,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_repetition_rules": op2_repetition_rules,
+    "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_bpe_round_trip": op9_bpe_round_trip,
