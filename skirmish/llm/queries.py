@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode, token_counts
 from .common import remainder_of, table
 from .decontamination import contamination
+from .jaccard_join import similarity_classes
 from .language import identify, train
 from .repetition import repetition_rules
 from .secret_scan import secret_spans
@@ -30,6 +31,10 @@ def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_repetition_rules": op2_repetition_rules,
+    "op3_jaccard_join": op3_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
@@ -70,6 +76,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": rf"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+        link AS (
+            SELECT a, b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y USING (s)
+                WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+            JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+        reach AS (
+            SELECT doc_id AS d, doc_id AS r FROM doc
+            UNION
+            SELECT d, b FROM reach JOIN link ON r = a)
+        SELECT d AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id
+        FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY 1""",
     "op8_decontamination": rf"""
         WITH item AS (
             SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
