@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode, token_counts
 from .common import remainder_of, table
+from .context_tree import language_scores
 from .decontamination import contamination
 from .jaccard_join import similarity_classes
 from .language import identify, train
@@ -35,6 +36,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"), remainder_of("doc_id", 7) == 2)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_repetition_rules": op2_repetition_rules,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_context_tree": op4_context_tree,
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
