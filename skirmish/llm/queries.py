@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode, token_counts
+from .co_training import co_trained_scores
 from .common import remainder_of, table
 from .context_tree import language_scores
 from .decontamination import contamination
 from .jaccard_join import similarity_classes
 from .language import identify, train
+from .licences import licence_scan
 from .repetition import repetition_rules
 from .secret_scan import secret_spans
 
@@ -40,6 +42,13 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"), remainder_of("doc_id", 7) == 2)
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/id``."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    return licence_scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -67,15 +76,21 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_trained_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_repetition_rules": op2_repetition_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_context_tree": op4_context_tree,
+    "op5_licence_scan": op5_licence_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_co_training": op10_co_training,
 }
 
 #: Lower case for A-Z only, in DuckDB.
