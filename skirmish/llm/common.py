@@ -39,14 +39,19 @@ def map_texts(
     return df.select(*picked).mapInArrow(fn, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run the plan so far and go on from its rows, kept in the cluster's shared checkpoint folder,
-    so that a lost executor costs a reread and not a recomputation.  A folder of our own is used
-    only where the session names none, as in local tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster's machines share, from spark.checkpoint.dir; one of our own only
+    where the session names none, as in local tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skirmish-checkpoints-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skirmish-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Run the plan so far and go on from its rows, kept in the shared checkpoint folder, so that a
+    lost executor costs a reread and not a recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -186,3 +186,18 @@ def identify(docs: DataFrame, model: BloomModel, id_col: str = "doc_id", text_co
     kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {kinds}lang_pred string, score double"
     return map_texts(docs, run, schema, doc_id=id_col, **{f"keep_{c}": c for c in keep}, text=text_col)
+
+
+def keep_identified(docs: DataFrame, model: BloomModel, least_score: float, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose text has a language with at least this score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keep = raw_texts(b, text_col), []
+            for x, y in shards(map(len, texts)):
+                names, score = sent.value.predict(texts[x:y])
+                keep += [n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return map_texts(docs, run, docs.schema, **{c: c for c in docs.columns})
