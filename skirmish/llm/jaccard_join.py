@@ -30,7 +30,10 @@ from .common import cut, map_texts, raw_texts
 
 #: Signatures that linked sets share beyond the first.
 SPARE = 2
-CELLS, SLACK = 2, 1
+#: Bits of the filter that keeps texts without a shared signature from being shuffled.
+FILTER_BITS = 1 << 24
+#: Nodes that a task remembers so as not to give the signatures of equal texts again.
+REMEMBERED_NODES = 200_000
 #: Longs of a parity sketch at most.
 SKETCH_LONGS = 64
 REMEMBERED_WORDS = 500_000
@@ -73,8 +76,11 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 class Scheme:
     """Bands, bounds and signatures for links where 100 * intersection >= percent * union."""
 
-    def __init__(self, percent: int = 90, cells: int = CELLS, slack: int = SLACK):
-        self.percent, self.cells, self.slack = percent, cells, slack
+    def __init__(self, percent: int = 90, cells: int | None = None, slack: int | None = None):
+        # the lower the similarity, the fewer elements a cell holds: then subsets of more cells
+        self.cells = cells or (2 if 100 + percent >= 16 * (100 - percent) else 4)
+        self.percent, self.slack = percent, self.cells // 2 if slack is None else slack
+        cells, slack = self.cells, self.slack
         #: Each band is wide enough for a set's partners to lie in it or the next.
         wider = max(1.5, 100 / percent * 1.05)
         self.edges = [1]
@@ -140,31 +146,52 @@ class Scheme:
         return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _node(features: np.ndarray) -> int | None:
+    return xxh3_64_intdigest(features.tobytes()) - (1 << 63) if len(features) else None
+
+
 def _sketches(scheme: Scheme, size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, signature, sketch = [], [], [], []
-            for t in raw_texts(b):
-                f = shingles(t, size)
-                n.append(len(f))
-                node.append(xxh3_64_intdigest(f.tobytes()) - (1 << 63) if len(f) else None)
-                signature.append(scheme.signatures(f).view(np.int64) if len(f) else None)
-                sketch.append(scheme.sketch(f) if len(f) else None)
-            longs = pa.list_(pa.int64())
+            found = [shingles(t, size) for t in raw_texts(b)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "key": b.column("key"), "node": pa.array(node, pa.int64()),
-                "n": pa.array(n, pa.int64()), "signatures": pa.array(signature, longs), "sketch": pa.array(sketch, longs),
+                "doc_id": b.column("doc_id"), "key": b.column("key"), "node": pa.array(map(_node, found), pa.int64()),
+                "n": pa.array(map(len, found), pa.int64()),
+                "sketch": pa.array([scheme.sketch(f) if len(f) else None for f in found], pa.list_(pa.int64())),
             })
 
     return run
 
 
+def _signed(scheme: Scheme, size: int):
+    """(signature, node), once for equal texts that a task sees close together."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            signatures, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t in raw_texts(b):
+                f = shingles(t, size)
+                node = _node(f)
+                if node is None or node in seen:
+                    continue
+                if len(seen) >= REMEMBERED_NODES:
+                    seen.clear()
+                seen.add(node)
+                signatures.append(scheme.signatures(f).view(np.int64))
+                nodes.append(np.full(len(signatures[-1]), node, np.int64))
+            columns = [pa.array(np.concatenate(signatures)), pa.array(np.concatenate(nodes))]
+            yield pa.RecordBatch.from_arrays(columns, ["signature", "node"])
+
+    return run
+
+
 def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, size) for t in raw_texts(b)]
             yield pa.RecordBatch.from_pydict({
-                "node": pa.array([xxh3_64_intdigest(f.tobytes()) - (1 << 63) if len(f) else None for f in found], pa.int64()),
+                "node": pa.array(map(_node, found), pa.int64()),
                 "features": pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())),
             })
 
@@ -227,16 +254,15 @@ def similarity_classes(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut(map_texts(
         docs, _sketches(scheme, size),
-        f"doc_id {kind}, key bigint, node bigint, n bigint, signatures array<bigint>, sketch array<bigint>",
+        f"doc_id {kind}, key bigint, node bigint, n bigint, sketch array<bigint>",
         doc_id=id_col, key=key, text=text_col,
     ))
     nodes = rows.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min_by(F.struct("doc_id", "key"), F.struct("doc_id", "key")).alias("rep"),
-        F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.first("sketch").alias("sketch"),
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"),
     )
     nodes = cut(nodes)
-    links, member = _links(docs, nodes, scheme, size, id_col, text_col)
-    label = components(links)
+    label = components(_links(docs, nodes, scheme, size, id_col, text_col))
     linked = label.join(nodes.select("node", "first_id"), "node")
     class_id = linked.groupBy("label").agg(F.min("first_id").alias("class_id"))
     found = nodes.select("node", "first_id").join(label.join(class_id, "label").select("node", "class_id"), "node", "left")
@@ -246,41 +272,50 @@ def similarity_classes(
     )
 
 
-def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect all that are connected."""
-    member = nodes.select("node", F.explode("signatures").alias("signature"))
+    member = map_texts(docs, _signed(scheme, size), "signature bigint, node bigint", text=text_col).repartition("signature")
     ends = member.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    member = cut(member.join(ends.hint("shuffle_hash"), "signature"))
+    member = cut(member.join(ends.hint("shuffle_hash"), "signature").distinct())  # all three on one exchange
+    sets = _sets_of(docs, nodes, member.select("node").distinct(), size, id_col, text_col)
     small = nodes.select("node", "n", "sketch")
 
-    def with_sketches(pairs: DataFrame) -> DataFrame:
+    def may_link(pairs: DataFrame) -> DataFrame:
         x = small.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x"))
         y = small.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
         return pairs.join(x, "a").join(y, "b").filter(_may_link(scheme)).select("a", "b")
 
     pairs = member.select(F.col("low").alias("a"), F.col("node").alias("b")).union(member.select("node", "high"))
-    first = _verified(docs, nodes, cut(with_sketches(pairs.filter("a < b").distinct())), scheme, size, id_col, text_col)
+    first = _verified(may_link(pairs.filter("a < b").distinct()), sets, scheme)
     label = components(first)
     # a signature whose members are all in one component has nothing left to find
     where = member.select("signature", "node").join(label, "node", "left")
     where = where.select("signature", "node", F.coalesce("label", "node").alias("label"))
-    open_ = where.groupBy("signature").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("signature")
-    side = cut(where.join(open_.hint("shuffle_hash"), "signature").join(small, "node"))
+    left = where.groupBy("signature").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("signature")
+    side = cut(where.join(left, "signature", "left_semi").join(small, "node"))
     across = side.alias("x").join(side.alias("y"), F.expr(
         f"x.signature = y.signature and x.node < y.node and x.label != y.label and {_may_link(scheme)}"
     )).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = _verified(docs, nodes, cut(across), scheme, size, id_col, text_col)
-    return first.union(second), member
+    return first.union(_verified(across, sets, scheme))
 
 
-def _verified(docs, nodes, pairs: DataFrame, scheme: Scheme, size: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that link, by their sets.  The sets are made again from the texts, for these alone."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets_of(docs, nodes, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The sets of some nodes, made again from one text each; most texts share no signature."""
     rep = nodes.join(wanted, "node", "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
     texts = docs.select(docs[id_col].alias("own_id"), F.xxhash64(docs[text_col]).alias("own_key"), docs[text_col].alias("text"))
+    # a bit set of fixed size, at most FILTER_BITS / 64 rows, drops most other texts before the shuffle
+    bit = lambda key: F.pmod(key, F.lit(FILTER_BITS))
+    word, mask = (lambda key: F.expr(f"{key} div 64")), (lambda key: F.expr(f"shiftleft(1L, cast({key} % 64 as int))"))
+    bits = rep.select(bit(F.col("rep_key")).alias("k")).groupBy(word("k").alias("word")).agg(F.bit_or(mask("k")).alias("bits"))
+    texts = texts.withColumn("k", bit(F.col("own_key"))).withColumn("word", word("k")).join(F.broadcast(bits), "word")
+    texts = texts.filter(F.col("bits").bitwiseAND(mask("k")) != 0).select("own_id", "own_key", "text")
     texts = texts.join(rep, F.expr("own_id <=> rep_id and own_key = rep_key"), "left_semi")
     sets = map_texts(texts, _sets(size), "node bigint, features array<bigint>", text="text")
-    sets = cut(sets.groupBy("node").agg(F.first("features").alias("features")))
+    return cut(sets.groupBy("node").agg(F.first("features").alias("features")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs that link, by their sets."""
     x = sets.select(F.col("node").alias("a"), F.col("features").alias("f"))
     y = sets.select(F.col("node").alias("b"), F.col("features").alias("g"))
     both = pairs.join(x, "a").join(y, "b").withColumn("same", F.size(F.array_intersect("f", "g")))
