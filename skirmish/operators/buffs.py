@@ -46,7 +46,9 @@ def buff_events(f: Frames, holders: str = "squad") -> DataFrame:
         F.when(s == State.BUFF_APPLY, "apply").when(s == State.BUFF_CHANGE, "extend")
         .when((s == State.BUFF_REMOVE_SINGLE) & ~((F.col("dst_agent") == 0) & (F.col("iff") == 2)), "single").when(s == State.BUFF_REMOVE_ALL, "all")
     )
-    rows = rows.withColumn("kind", F.when(s == State.BUFF_INITIAL, "apply").when(post, after).otherwise(before)).filter("kind is not null")
+    kind = F.when(s == State.BUFF_INITIAL, "apply").when(post, after).otherwise(before)
+    # through a generator, so that the planner works the kind out once and does not copy it into every use
+    rows = rows.select("*", F.inline(F.array(F.struct(kind.alias("kind"))))).filter("kind is not null")
     removal = F.col("kind").isin("single", "all")
     rows = rows.withColumn("holder", F.when(removal, F.col("src_agent")).otherwise(F.col("dst_agent"))).withColumn("source", F.when(removal, F.col("dst_agent")).otherwise(F.col("src_agent")))
     rows = rows.join(f.members(holders, "holder", "rep"), ["log_id", "holder"])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import buffs, damage, series, support
+from ..operators import buffs, damage, entities, instants, modifiers, series, support
+from . import report
 from .frames import Frames
 from .stand_in import PRELUDE, frames
 
@@ -183,6 +184,14 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "distance_to_centre": (lambda f: series.distance_to_centre(f, 30000), None),
     "buff_uptime": (buffs.uptime, None),
     "boon_count": (buffs.boon_count, None),
+    "damage_modifiers": (modifiers.damage_modifiers, None),
+    "instant_casts": (instants.instant_casts, None),
+    "first_instid": (entities.first_instid, "SELECT log_id, addr, arg_min(instid, (time, instid)) AS instid FROM (SELECT log_id, time, src_instid AS instid, src_agent AS addr FROM combat WHERE src_instid <> 0 AND src_agent <> 0 AND is_statechange NOT IN (40, 49)) GROUP BY 1, 2"),
+    "participants": (entities.participants, "SELECT DISTINCT log_id, src_agent AS addr FROM base WHERE is_statechange = 1 OR CASE WHEN post_era THEN is_statechange = 67 ELSE is_statechange = 0 AND is_activation IN (1, 2) END OR (row_ok AND (value > 0 OR buff_dmg > 0))"),
+    "entities": (report.entities, """
+        SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY CASE WHEN side = 'squad' THEN 0 ELSE 1 END, team, subgroup, rep) - 1 AS INT) AS entity, rep, side, team, subgroup
+        FROM (SELECT log_id, rep, side, min(team) AS team, max(subgroup) AS subgroup FROM roster GROUP BY 1, 2, 3)"""),
+    "summary": (report.summary, None),
     "applied_time": (buffs.applied_time, """
         SELECT log_id, d_rep AS rep, skillid AS buff_id, src_agent AS source, count(*) AS applied, CAST(sum(value) AS BIGINT) AS applied_ms FROM base
         WHERE d_rep IS NOT NULL AND (cond OR boon) AND CASE WHEN post_era THEN is_statechange = 69 ELSE is_statechange = 0 AND buff <> 0 AND is_activation = 0 AND is_buffremove = 0 AND buff_dmg = 0 AND value > 0 AND is_offcycle = 0 END GROUP BY 1, 2, 3, 4"""),
