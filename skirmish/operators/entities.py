@@ -29,8 +29,8 @@ def agent_kind() -> Column:
 
 
 def _named(column: str, names: dict[int, str]) -> Column:
-    pairs = [x for k, v in names.items() for x in (F.lit(k), F.lit(v))]
-    return F.create_map(*pairs)[F.col(column).cast("int")]
+    pairs = [x for k, v in names.items() for x in (F.lit(k).cast("bigint"), F.lit(v))]
+    return F.try_element_at(F.create_map(*pairs), F.col(column).cast("bigint"))
 
 
 def profession() -> Column:
@@ -112,7 +112,7 @@ def orphans_repaired(events: DataFrame, slack: int = 300) -> DataFrame:
     """Events in which an end without an address but with a session id gets the agent that used the id and
     was seen within ``slack`` ms, of several the one seen first.  Windows are those of the rows that name
     an agent; a repaired row does not widen them."""
-    seen = events.select("log_id", "time", F.explode(F.array(F.struct(F.col("src_agent").alias("addr"), F.col("src_instid").alias("instid")), F.struct(F.col("dst_agent"), F.col("dst_instid")))).alias("e"))
+    seen = events.select("log_id", "time", F.explode(F.array(F.struct(F.col("src_agent").alias("addr"), F.col("src_instid").alias("instid")), F.struct(F.col("dst_agent").alias("addr"), F.col("dst_instid").alias("instid")))).alias("e"))
     windows = seen.select("log_id", "time", "e.*").filter("addr != 0 and instid != 0").groupBy("log_id", "instid", "addr").agg(F.min("time").alias("first"), F.max("time").alias("last"))
     for end in ("src", "dst"):
         lost = events.filter(f"{end}_agent = 0 and {end}_instid > 0").select("log_id", "seq", "time", F.col(f"{end}_instid").alias("instid"))
