@@ -159,7 +159,7 @@ def _by_byte(q: np.ndarray) -> np.ndarray:
     out = np.zeros((len(q), 1))
     for bit in range(8):
         nodes = slice(1 << bit, 2 << bit)
-        out = np.stack([out + zero[:, nodes], out + one[:, nodes]], 2).reshape(len(q), -1)
+        out = np.stack([out + zero[:, nodes], out + one[:, nodes]], 2).reshape(len(q), 2 << bit)
     return out
 
 

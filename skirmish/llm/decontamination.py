@@ -79,7 +79,7 @@ class TestSet:
         self.pairs = np.unique(padded[:, 0] * size + padded[:, 1]) if self.shortest > 1 else None
 
     def _keys(self, codes: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(codes).reshape(len(codes), -1).view(self.kind).ravel()
+        return np.ascontiguousarray(codes).reshape(len(codes), self.digits * self.window).view(self.kind).ravel()
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows and their places in a shard's word numbers (0: not a word of the test set)."""
