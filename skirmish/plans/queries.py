@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import buffs, damage, entities, instants, modifiers, series, support
+from ..operators import buffs, damage, entities, generation, instants, modifiers, series, support
 from . import report
 from .frames import Frames
 from .stand_in import PRELUDE, frames
@@ -184,6 +184,8 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "distance_to_centre": (lambda f: series.distance_to_centre(f, 30000), None),
     "buff_uptime": (buffs.uptime, None),
     "boon_count": (buffs.boon_count, None),
+    "buff_generated": (generation.generated, None),
+    "buff_generation": (generation.generation, None),
     "damage_modifiers": (modifiers.damage_modifiers, None),
     "instant_casts": (instants.instant_casts, None),
     "first_instid": (entities.first_instid, "SELECT log_id, addr, arg_min(instid, (time, instid)) AS instid FROM (SELECT log_id, time, src_instid AS instid, src_agent AS addr FROM combat WHERE src_instid <> 0 AND src_agent <> 0 AND is_statechange NOT IN (40, 49)) GROUP BY 1, 2"),
