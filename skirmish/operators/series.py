@@ -9,7 +9,6 @@ from ..functions.predicates import is_crowd_control, is_remove_all
 from ..plans.frames import Frames
 from ..plans.joins import fuse, grid, step_spans
 from ..schema import BOONS, DODGE, RESURRECT, Result, State
-from .damage import credited
 
 
 def squad_timeline(f: Frames, step: int = 1000) -> DataFrame:

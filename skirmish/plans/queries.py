@@ -136,7 +136,13 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
           SELECT b.log_id, dst_agent AS target, de_rep, time AS t_down, seq FROM base b WHERE is_statechange = 0 AND result = 9 AND de_rep IS NOT NULL) JOIN bounds USING (log_id))
         SELECT * FROM (SELECT b.log_id, credit AS rep, d.de_rep AS target, CAST(sum(CASE WHEN cc THEN 0 ELSE dmg END) AS BIGINT) AS damage, count(*) FILTER (cc) AS cc_count, CAST(coalesce(sum(pos) FILTER (cc), 0) AS BIGINT) AS cc_ms, count(DISTINCT d.seq) AS downs
           FROM base b JOIN downs d ON d.log_id = b.log_id AND d.target = b.dst_agent AND b.time BETWEEN d.lo AND d.t_down WHERE ((row_ok AND health) OR cc) AND credit IS NOT NULL GROUP BY 1, 2, 3) WHERE damage > 0 OR cc_count > 0"""),
-    "focus": (support.focus, None),
+    "focus": (support.focus, """
+        , c AS (SELECT log_id, seq, time, d_rep AS rep FROM base WHERE post_era AND is_statechange = 67 AND se_rep IS NOT NULL AND d_rep IS NOT NULL),
+        w AS (SELECT log_id, d_rep AS rep, time AS t FROM base WHERE is_statechange = 0 AND result = 9 AND d_rep IS NOT NULL),
+        late AS (SELECT c.log_id, c.rep, count(DISTINCT c.seq) AS n FROM c JOIN w ON w.log_id = c.log_id AND w.rep = c.rep AND c.time BETWEEN w.t - 3000 AND w.t GROUP BY 1, 2)
+        SELECT c.log_id, c.rep, count(*) AS casts_drawn, round(count(*) * any_value(size) / any_value(total), 6) AS focus_index, coalesce(any_value(late.n), 0) AS casts_before_down
+        FROM c JOIN (SELECT log_id, count(DISTINCT rep) AS size FROM squad GROUP BY 1) m ON m.log_id = c.log_id JOIN (SELECT log_id, count(*) AS total FROM c GROUP BY 1) a ON a.log_id = c.log_id
+        LEFT JOIN late ON late.log_id = c.log_id AND late.rep = c.rep GROUP BY 1, 2"""),
     "missiles": (support.missiles, """
         SELECT log_id, rep, count(*) AS fired, count(*) FILTER (hit) AS hit, count(*) FILTER (NOT hit) AS denied, count(*) FILTER (reflected) AS reflected FROM (
           SELECT c.log_id, s.rep, c.src_agent, hit, reflected FROM (
@@ -179,7 +185,11 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
         , r AS (SELECT b.log_id, s_rep AS rep, time - t0 AS at_ms, seq, is_statechange AS s FROM base b JOIN bounds USING (log_id) WHERE is_statechange IN (3, 4, 5) AND s_rep IS NOT NULL),
         n AS (SELECT *, lead(s) OVER w AS ns, lead(at_ms) OVER w AS nt, lag(s) OVER w AS was, min(CASE WHEN s = 3 THEN at_ms END) OVER (PARTITION BY log_id, rep ORDER BY at_ms, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS up FROM r WINDOW w AS (PARTITION BY log_id, rep ORDER BY at_ms, seq))
         SELECT log_id, rep, 'down' AS state, at_ms AS start, nt AS stop FROM n WHERE s = 5 AND ns IN (3, 4) UNION ALL SELECT log_id, rep, 'dead', at_ms, up FROM n WHERE s = 4 AND was IS DISTINCT FROM 4 AND up IS NOT NULL"""),
-    "active_time": (series.active_time, None),
+    "active_time": (series.active_time, """
+        , r AS (SELECT b.log_id, s_rep AS rep, time AS t, seq, is_statechange AS s FROM base b WHERE is_statechange IN (3, 4, 5) AND s_rep IS NOT NULL),
+        n AS (SELECT *, lag(s) OVER w AS was, min(CASE WHEN s = 3 THEN t END) OVER (PARTITION BY log_id, rep ORDER BY t, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS up FROM r WINDOW w AS (PARTITION BY log_id, rep ORDER BY t, seq)),
+        dead AS (SELECT log_id, rep, sum(up - t) AS ms FROM n WHERE s = 4 AND was IS DISTINCT FROM 4 AND up IS NOT NULL GROUP BY 1, 2)
+        SELECT q.log_id, q.rep, CAST(greatest(duration_ms - coalesce(ms, 0), 0) AS BIGINT) AS active_ms FROM (SELECT DISTINCT log_id, rep FROM squad) q JOIN bounds USING (log_id) LEFT JOIN dead ON dead.log_id = q.log_id AND dead.rep = q.rep"""),
     "tracks": (lambda f: series.tracks(f, 30000), None),
     "distance_to_centre": (lambda f: series.distance_to_centre(f, 30000), None),
     "buff_uptime": (buffs.uptime, None),

@@ -22,7 +22,7 @@ SELECT *,
   CAST(CASE WHEN sc = 8 THEN (seq * 37) % 10100 WHEN seq % 4 = 0 OR seq % 3 = 0 OR u % 2 = 1 THEN 6 * (k % 2) + 4 * (u % 3) ELSE 1000000 + k % 40 END AS BIGINT) AS dst_agent
 FROM (
   SELECT CONCAT('L', CAST(u % 3 AS STRING)) AS log_id, seq, time, u, k, v, u % 3 <> 2 AS post_era,
-    CAST(CASE WHEN seq % 10 = 0 THEN 500000 + u WHEN sc IN (0, 67, 69, 72) AND seq % 6 = 3 THEN 1000000 + k % 40 ELSE u END AS BIGINT) AS src_agent,
+    CAST(CASE WHEN seq % 10 = 0 THEN 500000 + u WHEN (sc IN (0, 69, 72) AND seq % 6 = 3) OR (sc = 67 AND seq % 6 = 2) THEN 1000000 + k % 40 ELSE u END AS BIGINT) AS src_agent,
     CAST(CASE WHEN seq % 10 = 0 THEN 30001 + u % 2048 ELSE 1 + (u + 7 * {days}) % 2048 END AS INT) AS src_instid,
     CAST(0 AS INT) AS dst_instid,
     CAST(CASE WHEN seq % 10 = 0 THEN 1 + (u + 7 * {days}) % 2048 ELSE 0 END AS INT) AS src_master_instid,
