@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -55,6 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that ``cut`` has ended.  It does so when the
+    driver collects its garbage, which may be long after; before a step that writes much, ask for it."""
+    for _ in range(2):  # the first round frees what Python holds of the JVM, the second what that held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

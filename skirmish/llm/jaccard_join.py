@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, map_texts, raw_texts
+from .common import cut, free_shuffles, map_texts, raw_texts
 
 #: Signatures that linked sets share beyond the first.
 SPARE = 2
@@ -36,6 +36,8 @@ FILTER_BITS = 1 << 24
 REMEMBERED_NODES = 200_000
 #: Longs of a parity sketch at most.
 SKETCH_LONGS = 64
+#: Longs of the sketch that goes with each signature where components are compared.
+SHORT_LONGS = 4
 REMEMBERED_WORDS = 500_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -81,6 +83,8 @@ class Scheme:
         self.cells = cells or (2 if 100 + percent >= 16 * (100 - percent) else 4)
         self.percent, self.slack = percent, self.cells // 2 if slack is None else slack
         cells, slack = self.cells, self.slack
+        #: Signatures are dealt in so many passes, band by band, so that a pass's shuffle stays small.
+        self.passes = 1 if cells == 2 else 4
         #: Each band is wide enough for a set's partners to lie in it or the next.
         wider = max(1.5, 100 / percent * 1.05)
         self.edges = [1]
@@ -111,13 +115,14 @@ class Scheme:
         k = self.most_apart(top + top * 100 // self.percent)
         return k, -(-(k + 1) // (self.slack + 1)) + SPARE
 
-    def signatures(self, features: np.ndarray) -> np.ndarray:
-        """All signatures of a set.  Bands with K = 0 give none: there only equal sets link."""
+    def signatures(self, features: np.ndarray, turn: int | None = None) -> np.ndarray:
+        """All signatures of a set, or those of the bands of one pass.  Bands with K = 0 give none:
+        there only equal sets link."""
         out = []
         mixed = _mix(features ^ _M2)
         for band in self.bands(len(features)):
             k, groups = self.shape(band)
-            if k == 0:
+            if k == 0 or turn is not None and band % self.passes != turn:
                 continue
             n = groups * self.cells
             cell = ((features * _M1 >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
@@ -163,7 +168,7 @@ def _sketches(scheme: Scheme, size: int):
     return run
 
 
-def _signed(scheme: Scheme, size: int):
+def _signed(scheme: Scheme, size: int, turn: int):
     """(signature, node), once for equal texts that a task sees close together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +183,7 @@ def _signed(scheme: Scheme, size: int):
                 if len(seen) >= REMEMBERED_NODES:
                     seen.clear()
                 seen.add(node)
-                signatures.append(scheme.signatures(f).view(np.int64))
+                signatures.append(scheme.signatures(f, turn).view(np.int64))
                 nodes.append(np.full(len(signatures[-1]), node, np.int64))
             columns = [pa.array(np.concatenate(signatures)), pa.array(np.concatenate(nodes))]
             yield pa.RecordBatch.from_arrays(columns, ["signature", "node"])
@@ -232,6 +237,10 @@ def _apart(a: str, b: str) -> str:
     return f"if(size({a}) = size({b}), {plain.format(x=a, y=b)}, {plain.format(x=x, y=y)})"
 
 
+#: SQL: the k-th of SHORT_LONGS longs onto which a sketch is folded.
+_FOLDED = f"aggregate(sequence(0, cast(size(sketch) div {SHORT_LONGS} as int) - 1), 0L, (s, j) -> s ^ element_at(sketch, k + j * {SHORT_LONGS}))"
+
+
 def _may_link(scheme: Scheme) -> str:
     """SQL on x and y with n and sketch: false only if they cannot link."""
     p = scheme.percent
@@ -274,44 +283,79 @@ def similarity_classes(
 
 def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect all that are connected."""
-    member = map_texts(docs, _signed(scheme, size), "signature bigint, node bigint", text=text_col).repartition("signature")
-    ends = member.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    member = cut(member.join(ends.hint("shuffle_hash"), "signature").distinct())  # all three on one exchange
-    sets = _sets_of(docs, nodes, member.select("node").distinct(), size, id_col, text_col)
+    spark = docs.sparkSession
+    member = None
+    for turn in range(scheme.passes):
+        free_shuffles(spark)
+        found = _members(docs, scheme, size, text_col, turn)
+        member = found if member is None else member.union(found)
+    free_shuffles(spark)
     small = nodes.select("node", "n", "sketch")
 
     def may_link(pairs: DataFrame) -> DataFrame:
         x = small.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x"))
         y = small.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").filter(_may_link(scheme)).select("a", "b")
+        return cut(pairs.distinct().join(x, "a").join(y, "b").filter(_may_link(scheme)).select("a", "b"))
 
-    pairs = member.select(F.col("low").alias("a"), F.col("node").alias("b")).union(member.select("node", "high"))
-    first = _verified(may_link(pairs.filter("a < b").distinct()), sets, scheme)
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return _verified(pairs, _sets_of(docs, nodes, wanted, size, id_col, text_col), scheme)
+
+    ends = member.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    ends = member.join(ends, "signature")
+    pairs = ends.select(F.col("low").alias("a"), F.col("node").alias("b")).union(ends.select("node", "high")).filter("a < b")
+    first = verified(may_link(pairs))
     label = components(first)
+    free_shuffles(spark)
     # a signature whose members are all in one component has nothing left to find
-    where = member.select("signature", "node").join(label, "node", "left")
-    where = where.select("signature", "node", F.coalesce("label", "node").alias("label"))
+    where = member.join(label, "node", "left").select("signature", "node", F.coalesce("label", "node").alias("label"))
     left = where.groupBy("signature").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("signature")
-    side = cut(where.join(left, "signature", "left_semi").join(small, "node"))
+    folded = nodes.select("node", "n", F.expr(f"transform(sequence(1, {SHORT_LONGS}), k -> {_FOLDED})").alias("sketch"))
+    side = cut(where.join(left, "signature", "left_semi").join(folded, "node"))
     across = side.alias("x").join(side.alias("y"), F.expr(
         f"x.signature = y.signature and x.node < y.node and x.label != y.label and {_may_link(scheme)}"
-    )).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return first.union(_verified(across, sets, scheme))
+    )).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    second = verified(may_link(across))
+    return first.union(second)
+
+
+def _members(docs: DataFrame, scheme: Scheme, size: int, text_col: str, turn: int) -> DataFrame:
+    """(signature, node) of the signatures that two nodes or more have, dealt by signature once."""
+    member = map_texts(docs, _signed(scheme, size, turn), "signature bigint, node bigint", text=text_col).repartition("signature")
+    several = member.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    return cut(member.join(several.select("signature").hint("shuffle_hash"), "signature").distinct())
 
 
 def _sets_of(docs, nodes, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """The sets of some nodes, made again from one text each; most texts share no signature."""
-    rep = nodes.join(wanted, "node", "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
-    texts = docs.select(docs[id_col].alias("own_id"), F.xxhash64(docs[text_col]).alias("own_key"), docs[text_col].alias("text"))
-    # a bit set of fixed size, at most FILTER_BITS / 64 rows, drops most other texts before the shuffle
-    bit = lambda key: F.pmod(key, F.lit(FILTER_BITS))
-    word, mask = (lambda key: F.expr(f"{key} div 64")), (lambda key: F.expr(f"shiftleft(1L, cast({key} % 64 as int))"))
-    bits = rep.select(bit(F.col("rep_key")).alias("k")).groupBy(word("k").alias("word")).agg(F.bit_or(mask("k")).alias("bits"))
-    texts = texts.withColumn("k", bit(F.col("own_key"))).withColumn("word", word("k")).join(F.broadcast(bits), "word")
-    texts = texts.filter(F.col("bits").bitwiseAND(mask("k")) != 0).select("own_id", "own_key", "text")
-    texts = texts.join(rep, F.expr("own_id <=> rep_id and own_key = rep_key"), "left_semi")
-    sets = map_texts(texts, _sets(size), "node bigint, features array<bigint>", text="text")
-    return cut(sets.groupBy("node").agg(F.first("features").alias("features")))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rep = nodes.join(wanted, "node", "left_semi").select(name(F.col("rep.doc_id")).alias("rep_name"), F.col("rep.key").alias("rep_key"))
+    texts = docs.select(F.xxhash64(docs[text_col]).alias("own_key"), name(docs[id_col]).alias("own_name"), docs[text_col].alias("text"))
+    texts = _on_bits(texts, "own_key", docs.sparkSession.sparkContext.broadcast(_bits(rep, "rep_key")))
+    texts = texts.join(rep, F.expr("own_key = rep_key and own_name = rep_name"), "left_semi")
+    texts = texts.dropDuplicates(["own_key", "own_name"])
+    return cut(map_texts(texts, _sets(size), "node bigint, features array<bigint>", text="text"))
+
+
+def _bits(keys: DataFrame, key: str) -> np.ndarray:
+    """A set of FILTER_BITS bits on which the keys fall, whatever their number: 4 MB on the driver."""
+    slot = keys.select(F.pmod(key, F.lit(FILTER_BITS)).alias("k"))
+    words = slot.groupBy(F.expr("k div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 32 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits
+
+
+def _on_bits(rows: DataFrame, key: str, bits, wanted: bool = True) -> DataFrame:
+    """The rows whose key falls on a set bit, or the others.  A key of the set always does.  In SQL a join
+    that follows would be pushed below such a filter."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(key).to_numpy() % FILTER_BITS
+            yield b.filter(pa.array((bits.value[k // 32] >> k % 32 & 1).astype(bool) == wanted))
+
+    return map_texts(rows, run, rows.schema, **{c: c for c in rows.columns})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -324,11 +368,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
 
 def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents, one of each class: those that carry the class's id.  Rows that repeat an id
-    stay or go together, but equal rows become one."""
+    stay or go together, but equal rows become one.  Only documents whose id falls on a bit of a dropped
+    one are shuffled with their texts."""
+    spark = docs.sparkSession
     classes = cut(classes)
-    gone = classes.filter("doc_id != component_id").select("doc_id")
-    kept = docs.join(gone.distinct(), docs[id_col] == gone.doc_id, "left_anti")
+    free_shuffles(spark)
+    gone = classes.filter("doc_id != component_id").select("doc_id").distinct().withColumn("_key", F.xxhash64("doc_id"))
+    bits = spark.sparkContext.broadcast(_bits(gone, "_key"))
+    keyed = docs.withColumn("_key", F.xxhash64(docs[id_col]))
+    maybe = _on_bits(keyed, "_key", bits).alias("x").join(gone.alias("g"), F.col(f"x.{id_col}") == F.col("g.doc_id"), "left_anti")
+    kept = _on_bits(keyed, "_key", bits, wanted=False).unionByName(maybe).drop("_key")
     repeats = classes.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates() if repeats else kept
-
-
