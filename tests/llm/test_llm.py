@@ -204,6 +204,25 @@ def test_word_scores_against_brute_force(spark, monkeypatch):
     assert context_tree.language_scores(odd(spark), remainder_of("doc_id", 7) == 2).count() == N_ODD
 
 
+@pytest.mark.parametrize("depth", [0, 2, 5])
+def test_every_context_counts_in_the_distributed_tree(spark, depth):
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 5))) for _ in range(60)) for _ in range(400)]
+    texts += ["once told rarity"]  # its contexts stand once
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    code, _ = context_tree.grams([t.encode() for t, h in zip(texts, held, strict=True) if not h], depth)
+    keys, n = np.unique(code, return_counts=True)
+    counts = []
+    for d in range(depth + 1):
+        own, back = np.unique(keys & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        counts.append((own >> np.uint64(8), (own & np.uint64(255)).astype(int), np.bincount(back, n)))
+    want = context_tree.ContextTree(depth, counts).scores([t.encode() for t in texts])
+    got = context_tree.language_scores(docs(spark, texts), remainder_of("doc_id", 7) == 2, depth=depth, shard_bytes=20_000).collect()
+    assert len(got) == len(texts) and not held[-1]
+    for x in got:
+        assert abs(x.score - want[x.doc_id]) < 1e-3
+
+
 def test_licences_of_headers_files_and_ancestors(spark):
     mit = licences.TEMPLATES[1][1]
     rows = [
