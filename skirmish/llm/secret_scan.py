@@ -1,7 +1,8 @@
 """Secret scan: three fixed patterns, and a battery of randomness tests for all other tokens.
 
-A token is a run of 20 or more characters of the usual encodings.  Its encoding is the smallest
-alphabet that holds all its characters.  Three tests ask whether it could be uniformly random in
+A token is a run of 20 or more characters of the usual encodings.  ``=`` that is not padding at its end
+parts it, and where no alphabet holds a part, so do the characters that do not fit.  Its encoding is the
+smallest alphabet that holds all its characters.  Three tests ask whether it could be uniformly random in
 that alphabet: chi-squared of the character counts, runs above and below the alphabet's middle, and
 correlation of each character with the next.  Their p-values are combined after Fisher; tokens that
 they reject are ordered data, not secrets.
@@ -69,6 +70,33 @@ def encoding_of(token: str) -> str | None:
     return next((name for name, a, _ in _SETS if own <= a), None)
 
 
+#: Where no alphabet holds a run: each alphabet's stretches of it, from the widest alphabets.
+_FITTING = [re.compile(x) for x in ("[A-Za-z0-9+/]+", "[A-Za-z0-9_-]+", "[A-Za-z0-9]+")]
+#: A run up to "=" that something follows; padding that ends the run stays with it.
+_PART = re.compile("[^=]+(?:=+$)?")
+
+
+def tokens_of(run: str) -> list[tuple[int, int, str]]:
+    """(start, end, encoding) of the parts of a run that are long enough to be tested."""
+    out = []
+    for m in _PART.finditer(run):
+        a, part = m.start(), m.group()
+        kind = encoding_of(part)
+        if kind is not None:
+            out.append((a, a + len(part), kind))
+            continue
+        # the stretches of the wide alphabets overlap, so the longest go first
+        body = part.rstrip("=")
+        spans = sorted({x.span() for f in _FITTING for x in f.finditer(body)}, key=lambda x: (x[0] - x[1], x[0]))
+        taken: list[tuple[int, int]] = []
+        for s, e in spans:
+            if e - s >= 20 and all(e <= x or y <= s for x, y in taken):
+                taken.append((s, e))
+                end = len(part) if e == len(body) else e
+                out.append((a + s, a + end, encoding_of(body[s:e])))
+    return sorted((a, b, k) for a, b, k in out if len(run[a:b].rstrip("=")) >= 20)
+
+
 def _normal_tail(z: float) -> float:
     return erfc(z / sqrt(2)) / 2
 
@@ -125,15 +153,13 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], rate: float = RAT
     tested = []
     taken = sorted(taken)
     for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in taken):
-            continue
-        token = m.group()
-        kind = encoding_of(token)
-        if kind in (None, "decimal") or _UUID.fullmatch(token) or len(token.rstrip("=")) < 20:
-            continue
-        p = battery(token, kind)
-        tested.append((p["language"], p["random"], a, b))
+        for x, y, kind in tokens_of(m.group()):
+            a, b = m.start() + x, m.start() + y
+            token = text[a:b]
+            if kind == "decimal" or _UUID.fullmatch(token) or any(s < b and a < e for s, _, e in taken):
+                continue
+            p = battery(token, kind)
+            tested.append((p["language"], p["random"], a, b))
     tested.sort()
     last = max((k for k, t in enumerate(tested, 1) if t[0] <= rate * k / len(tested)), default=0)
     return [(a, 3, b) for _, r, a, b in tested[:last] if r >= LEAST_RANDOM]

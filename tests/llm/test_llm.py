@@ -254,6 +254,21 @@ def test_the_battery_finds_random_tokens_and_spares_words():
     assert found >= 180 and false <= 4 and not any(secret_scan.random_spans(t, []) for t in ordered)
 
 
+def test_random_values_behind_a_name_or_in_a_path():
+    r = random.Random(9)
+    make = lambda n: "".join(r.choice(secret_scan.ALPHABETS["base62"]) for _ in range(n))
+    for before, after in (("private_key=", ""), ("sig=", "="), ("https://x.org/cb?code=", " end"), ("a/b-c/", "/d_e"), ("auth=", "&x=1")):
+        found = 0
+        for _ in range(50):
+            secret = make(64)
+            text = f"{before}{secret}{after}"
+            spans = secret_scan.random_spans(text, [])
+            found += any(a <= len(before) and len(before) + 64 <= b for a, _, b in spans)
+        assert found >= 45, before
+    assert secret_scan.tokens_of("name=" + "aB3" * 8 + "==") == [(5, 31, "base62")]
+    assert secret_scan.redact("sig=" + make(64) + " x") == "sig=[random] x"
+
+
 def test_secret_rows(spark):
     got = secret_scan.secret_spans(odd(spark)).collect()
     assert len(got) == N_ODD and {x.base_sha256 for x in got} == {hashlib.sha256(b"").hexdigest()} and {x.spans for x in got} == {""}
