@@ -28,7 +28,7 @@ def _parallel(f: Frames) -> DataFrame:
 
 
 def _coded(f: Frames) -> DataFrame:
-    return series.encode_series(series.squad_timeline(f, 100000).select("log_id", "bucket", "downs"), ["log_id"], "bucket", "downs")
+    return series.encode_series(series.squad_timeline(f).select("log_id", "bucket", "downs"), ["log_id"], "bucket", "downs")
 
 
 def _windows(f: Frames) -> DataFrame:
@@ -190,8 +190,8 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
         n AS (SELECT *, lag(s) OVER w AS was, min(CASE WHEN s = 3 THEN t END) OVER (PARTITION BY log_id, rep ORDER BY t, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS up FROM r WINDOW w AS (PARTITION BY log_id, rep ORDER BY t, seq)),
         dead AS (SELECT log_id, rep, sum(up - t) AS ms FROM n WHERE s = 4 AND was IS DISTINCT FROM 4 AND up IS NOT NULL GROUP BY 1, 2)
         SELECT q.log_id, q.rep, CAST(greatest(duration_ms - coalesce(ms, 0), 0) AS BIGINT) AS active_ms FROM (SELECT DISTINCT log_id, rep FROM squad) q JOIN bounds USING (log_id) LEFT JOIN dead ON dead.log_id = q.log_id AND dead.rep = q.rep"""),
-    "tracks": (lambda f: series.tracks(f, 30000), None),
-    "distance_to_centre": (lambda f: series.distance_to_centre(f, 30000), None),
+    "tracks": (series.tracks, None),
+    "distance_to_centre": (series.distance_to_centre, None),
     "buff_uptime": (buffs.uptime, None),
     "boon_count": (buffs.boon_count, None),
     "buff_generated": (generation.generated, None),

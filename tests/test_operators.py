@@ -3,7 +3,7 @@ import random
 import pytest
 
 from skirmish.operators import buffs, damage, entities, instants, modifiers, series, support
-from skirmish.plans import report
+from skirmish.plans import queries, report
 from skirmish.plans.joins import asof_join, band_join, merge_steps, overlap_counts
 from skirmish.schema import Result, State
 from tests.fights import FOE, MATE, PET, SQUAD, fight, hit, mark, rows
@@ -101,6 +101,17 @@ def test_tracks_lie_on_the_line(spark):
     assert rows(series.tracks(f), "t_ms", "x") == [(0, 0.0), (300, 30.0), (600, 60.0), (900, 60.0)]
 
 
+def test_registered_tracks_and_series_have_the_default_steps(spark):
+    f = fight(spark, [mark(0, State.POSITION, x=0.0, y=0.0, z=0.0), mark(6000, State.POSITION, x=600.0, y=0.0, z=0.0), mark(0, State.POSITION, src=MATE, x=0.0, y=0.0, z=0.0), mark(6000, State.POSITION, src=MATE, x=0.0, y=0.0, z=0.0), hit(2500, result=Result.DOWNED), hit(6000)])
+    got = {(r.rep, r.t_ms): r.x for r in queries._ALL["tracks"][0](f).collect()}
+    want = {(who, t): t / 10 * (who == SQUAD) for who in (SQUAD, MATE) for t in range(0, 6001, 300)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+    mean = sum(t / 20 for t in range(0, 6001, 300)) / 21
+    assert [r.distance for r in queries._ALL["distance_to_centre"][0](f).collect()] == [pytest.approx(mean, abs=1e-3)] * 2
+    runs = sorted((r.first, r.length, r.downs) for r in queries._ALL["encoded_series"][0](f).collect())
+    assert [v for first, n, v in runs for _ in range(n)] == [0, 0, 1, 0, 0, 0, 0]
+
+
 def slow_queue(events, capacity, end):
     """One millisecond at a time: the oldest stack runs."""
     q, states, last = [], [], 0
