@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch at most, and the text bytes that one step of an operator looks at.
 BATCH_ROWS = 1000
@@ -20,25 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a worker's memory is set by its longest texts and not by
-    the number of rows that happen to stand together."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def named(df: DataFrame, name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session with some settings changed (dots written as __), which are put back at the end."""
+    own = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """Hand batches of at most ``BATCH_ROWS`` rows to a step, so that a worker's memory is set by its longest
+    texts and not by the number of rows that happen to stand together."""
+
+    def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), BATCH_ROWS):
+                yield b.slice(k, BATCH_ROWS)
+
+    return lambda batches: fn(cut_up(batches))
 
 
 def map_texts(
     df: DataFrame,
     fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | StructType,
     **columns: str | Column,
 ) -> DataFrame:
     """``mapInArrow`` over the named columns only: name in the batch -> column of the input."""
-    bound_batches(df.sparkSession)
-    picked = [(df[c] if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
-    return df.select(*picked).mapInArrow(fn, schema)
+    picked = [(named(df, c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
+    return df.select(*picked).mapInArrow(small_batches(fn), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,20 +72,32 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Lets Spark delete an action's shuffle files as the action ends.
+_FREE = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Run the plan so far and go on from its rows, kept in the shared checkpoint folder, so that a
-    lost executor costs a reread and not a recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of steps that ``cut`` has ended.  It does so when the
-    driver collects its garbage, which may be long after; before a step that writes much, ask for it."""
-    for _ in range(2):  # the first round frees what Python holds of the JVM, the second what that held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    """Run the plan so far and go on from its rows, written to the shared folder, so that a lost executor
+    costs a reread and not a recomputation.  The shuffles that led to it are deleted at once; ``drop``
+    deletes the rows when nothing reads them any more."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    with settings(spark, **_FREE):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete the rows that ``cut`` wrote."""
+    for df in cuts:
+        delete_folder(df.sparkSession, df.cut_at)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import BATCH_ROWS, cut, free_shuffles, map_texts, raw_texts, shards
+from .common import BATCH_ROWS, cut, map_texts, raw_texts, shards
 
 DEPTH = 5
 HEAD_SHARE = 2e-6
@@ -469,7 +469,6 @@ def language_scores(
         _asked(depth, low, BUCKETS * n_shards), "bucket bigint, shard bigint, grams binary, n binary"
     )
     asked = cut(asked.repartition("bucket"))
-    free_shuffles(spark)
     crown = _Crown(-1, *[np.zeros(0)] * 4)
     if low:
         sums = asked.groupBy("bucket").applyInArrow(_rising(depth, low), "node bigint, zero bigint, one bigint, inside bigint")
@@ -485,7 +484,6 @@ def language_scores(
     n, v = total.n or 0, total.v
     often = words.filter(F.col("n") >= F.lit(HEAD_SHARE * n)).toArrow()
     sent = spark.sparkContext.broadcast((often.column("key").to_numpy(), often.column("n").to_numpy()))
-    free_shuffles(spark)
     rows = cut(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
         _scored(sent, depth),
         f"doc_id {kind}, row bigint, held_out boolean, n_tokens bigint, head double, head_known bigint, score double, tail array<bigint>",

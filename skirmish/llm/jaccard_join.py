@@ -1,17 +1,19 @@
 """Jaccard similarity join on word n-grams by PartEnum signatures, and its connected components.
 
 Sets whose sizes lie in the same band are compared under one bound K on the size of their symmetric
-difference.  The feature domain is cut into groups and each group into cells; of the groups, enough
-have at most ``slack`` differing features, so that in such a group some subset of ``cells - slack``
-cells agrees.  Every subset of every group gives a signature, a digest of the features in it, and two
-sets that link share at least ``SPARE + 1`` signatures.  A set leaves out signatures of subsets in
-which it has no feature if there are at most ``SPARE`` of them; one of the shared ones is left.
-
-Equal sets are one node from the start.  Nodes that share a signature are linked in two steps, so
-that a group of copies never becomes all its pairs: first each against the two ends of its group,
-then only across the components that the first step left, and there a parity sketch, whose
-distance never exceeds the symmetric difference, rejects inside the join what cannot link.  What
-remains is checked exactly on the sets.  Features and nodes are 64-bit digests.
+difference.  The feature domain is cut into groups and each group into cells; every subset of
+``cells - slack`` cells of every group gives a signature, a digest of the features in it.  K differing
+features can spoil only so many of these subsets, so two sets that link share at least ``least_shared``
+signatures.  Subsets in which a set has no feature give none, as long as one of the shared ones is left.
+
+Equal sets are one node from the start.  A node whose signatures are found elsewhere less often than a
+link needs can't link, so it goes, and with it what only it shared, until nothing more falls away: a
+passage that many documents quote leaves next to nothing.  What stays is linked in two steps, so that a
+group of copies never becomes all its pairs: first each node against the two ends of its group, and of
+the parts of the group that agree in a piece of a parity sketch; then, only where a signature's nodes
+still lie in several components, against the nodes of the others.  The sketch, whose distance never
+exceeds the symmetric difference, rejects inside the joins what cannot link; what remains is checked
+exactly on the sets.  Features and nodes are 64-bit digests.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, free_shuffles, map_texts, raw_texts
+from .common import cut, drop, map_texts, named, raw_texts
 
-#: Signatures that linked sets share beyond the first.
+#: Groups beyond those that a link needs to share one signature.
 SPARE = 2
 #: Bits of the filter that keeps texts without a shared signature from being shuffled.
 FILTER_BITS = 1 << 24
@@ -38,6 +41,8 @@ REMEMBERED_NODES = 200_000
 SKETCH_LONGS = 64
 #: Longs of the sketch that goes with each signature where components are compared.
 SHORT_LONGS = 4
+#: Parts into which the edges of a node are dealt, so that the centre of a star is no task of its own.
+PARTS = 32
 REMEMBERED_WORDS = 500_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -84,7 +89,8 @@ class Scheme:
         self.percent, self.slack = percent, self.cells // 2 if slack is None else slack
         cells, slack = self.cells, self.slack
         #: Signatures are dealt in so many passes, band by band, so that a pass's shuffle stays small.
-        self.passes = 1 if cells == 2 else 4
+        #: A set signs for one band or two neighbours, so in a pass for one.
+        self.passes = 2 if cells == 2 else 4
         #: Each band is wide enough for a set's partners to lie in it or the next.
         wider = max(1.5, 100 / percent * 1.05)
         self.edges = [1]
@@ -115,29 +121,44 @@ class Scheme:
         k = self.most_apart(top + top * 100 // self.percent)
         return k, -(-(k + 1) // (self.slack + 1)) + SPARE
 
-    def signatures(self, features: np.ndarray, turn: int | None = None) -> np.ndarray:
-        """All signatures of a set, or those of the bands of one pass.  Bands with K = 0 give none:
-        there only equal sets link."""
-        out = []
-        mixed = _mix(features ^ _M2)
+    @lru_cache(maxsize=256)
+    def least_shared(self, band: int) -> int:
+        """How many signatures of a band two sets that link share at least.  A group with j spoilt cells
+        keeps comb(cells - j, cells - slack) subsets, so every further cell costs it less than the one
+        before: K differences spoil most when they are spread evenly."""
+        k, groups = self.shape(band)
+        kept = [comb(self.cells - j, self.cells - self.slack) for j in range(self.cells + 1)]
+        shared = groups * kept[0]
+        for j in range(self.cells):
+            shared -= min(k, groups) * (kept[j] - kept[j + 1])
+            k -= min(k, groups)
+        return shared
+
+    def signatures(self, features: np.ndarray, turn: int) -> tuple[np.ndarray, int]:
+        """The signatures of a set in the bands of one pass, and how many of them it must share to link.
+        Bands with K = 0 give none: there only equal sets link."""
         for band in self.bands(len(features)):
             k, groups = self.shape(band)
-            if k == 0 or turn is not None and band % self.passes != turn:
-                continue
-            n = groups * self.cells
-            cell = ((features * _M1 >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            counts = np.bincount(cell, minlength=n)
-            sums = np.r_[np.uint64(0), np.cumsum(mixed[order], dtype=np.uint64)]
-            ends = np.cumsum(counts)
-            digest = (sums[ends] - sums[ends - counts]).reshape(groups, self.cells)
-            counts = counts.reshape(groups, self.cells)
-            total = np.stack([(digest * p).sum(1, dtype=np.uint64) for p in self.picks.astype(np.uint64)], 1)
-            filled = np.stack([(counts * p).sum(1) > 0 for p in self.picks.astype(np.int64)], 1)
-            number = np.arange(filled.size, dtype=np.uint64).reshape(filled.shape)
-            signature = _mix(total * _M1 + _mix(number + (np.uint64(band) << np.uint64(40))))
-            out.append((signature[filled] if (~filled).sum() <= SPARE else signature.ravel()))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            if k and band % self.passes == turn:
+                break
+        else:
+            return np.zeros(0, np.uint64), 1
+        mixed = _mix(features ^ _M2)
+        n = groups * self.cells
+        cell = ((features * _M1 >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        counts = np.bincount(cell, minlength=n)
+        sums = np.r_[np.uint64(0), np.cumsum(mixed[order], dtype=np.uint64)]
+        ends = np.cumsum(counts)
+        digest = (sums[ends] - sums[ends - counts]).reshape(groups, self.cells)
+        counts = counts.reshape(groups, self.cells)
+        total = np.stack([(digest * p).sum(1, dtype=np.uint64) for p in self.picks.astype(np.uint64)], 1)
+        filled = np.stack([(counts * p).sum(1) > 0 for p in self.picks.astype(np.int64)], 1)
+        number = np.arange(filled.size, dtype=np.uint64).reshape(filled.shape)
+        signature = _mix(total * _M1 + _mix(number + (np.uint64(band) << np.uint64(40))))
+        # of the shared ones some may be of empty subsets; if all may be, a set keeps those as well
+        least = self.least_shared(band) - int((~filled).sum())
+        return (signature[filled], least) if least > 0 else (signature.ravel(), 1)
 
     def sketch(self, features: np.ndarray) -> np.ndarray:
         """Bit j: whether an odd number of features fall on j.  The number of bits follows the band
@@ -169,12 +190,12 @@ def _sketches(scheme: Scheme, size: int):
 
 
 def _signed(scheme: Scheme, size: int, turn: int):
-    """(signature, node), once for equal texts that a task sees close together."""
+    """(signature, node, least), once for equal texts that a task sees close together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            signatures, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            signatures, nodes, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for t in raw_texts(b):
                 f = shingles(t, size)
                 node = _node(f)
@@ -183,10 +204,12 @@ def _signed(scheme: Scheme, size: int, turn: int):
                 if len(seen) >= REMEMBERED_NODES:
                     seen.clear()
                 seen.add(node)
-                signatures.append(scheme.signatures(f, turn).view(np.int64))
-                nodes.append(np.full(len(signatures[-1]), node, np.int64))
-            columns = [pa.array(np.concatenate(signatures)), pa.array(np.concatenate(nodes))]
-            yield pa.RecordBatch.from_arrays(columns, ["signature", "node"])
+                own, need = scheme.signatures(f, turn)
+                signatures.append(own.view(np.int64))
+                nodes.append(np.full(len(own), node, np.int64))
+                least.append(np.full(len(own), need, np.int32))
+            columns = [pa.array(np.concatenate(x)) for x in (signatures, nodes, least)]
+            yield pa.RecordBatch.from_arrays(columns, ["signature", "node", "least"])
 
     return run
 
@@ -203,6 +226,17 @@ def _sets(size: int):
     return run
 
 
+def _with_least(edges: DataFrame, and_own: bool) -> DataFrame:
+    """The edges (a, b) with m, the smallest b of their a (or a itself).  Both sides are dealt by a and a
+    part of b, so the edges of one node stand in up to ``PARTS`` tasks."""
+    part = F.pmod(F.hash("b"), F.lit(PARTS))
+    own = edges.groupBy("a", part.alias("part")).agg(F.min("b").alias("m"))
+    least = own.groupBy("a").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))
+    m = F.least("m", "a") if and_own else F.col("m")
+    least = least.select("a", m.alias("m"), F.explode("parts").alias("part"))
+    return edges.withColumn("part", part).join(least, ["a", "part"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the undirected edges (a, b): label is the smallest node it is
     connected to.  Alternates large-star and small-star steps, each a minimum by node and a join,
@@ -211,13 +245,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = cut(small.filter("a != b").distinct())
+        large = _with_least(both, True).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large.filter("a != b").distinct())
+        small = _with_least(large, False)
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(large.groupBy("a").agg(F.min("b").alias("b")))
+        before, now = now, cut(small.filter("a != b").distinct())
+        drop(before, large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -251,97 +284,122 @@ def _may_link(scheme: Scheme) -> str:
 def similarity_classes(
     docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles and component_id.
+    """One row per input row: doc_id, n_shingles, component_id, key (a digest of the text), and
+    first_of_class: whether the row has the smallest id of its class, and of rows with this id the
+    smallest key (true for all that have no set).
 
     A document's set are its distinct ``size``-word shingles, or its whole word sequence if shorter;
     two documents link if 100 * intersection >= ``percent`` * union.  component_id is the smallest
     doc_id that links reach, the row's own included.  Null, empty and blank texts have no set, 0
-    shingles and their own id.  Rows that repeat an id are each judged by their own text.
+    shingles and their own id.  Rows that repeat an id are each judged by their own text.  Texts of any
+    length are read whole: memory holds the shingles of one text at a time.  An empty table gives no
+    rows; other columns, whatever their names, are not looked at.
     """
     scheme = scheme or Scheme(percent)
-    key = F.xxhash64(docs[text_col])
+    text = named(docs, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut(map_texts(
         docs, _sketches(scheme, size),
         f"doc_id {kind}, key bigint, node bigint, n bigint, sketch array<bigint>",
-        doc_id=id_col, key=key, text=text_col,
+        doc_id=id_col, key=F.xxhash64(text), text=text_col,
     ))
-    nodes = rows.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.min_by(F.struct("doc_id", "key"), F.struct("doc_id", "key")).alias("rep"),
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"),
-    )
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(own).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes)
+    slim = cut(rows.select("doc_id", "key", "node", "n"))
+    drop(rows)
     label = components(_links(docs, nodes, scheme, size, id_col, text_col))
-    linked = label.join(nodes.select("node", "first_id"), "node")
-    class_id = linked.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    found = nodes.select("node", "first_id").join(label.join(class_id, "label").select("node", "class_id"), "node", "left")
-    found = found.select("node", F.coalesce("class_id", "first_id").alias("component"))
-    return rows.select("doc_id", "node", "n").join(found, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    linked = label.join(nodes.select("node", "rep"), "node")
+    best = linked.groupBy("label").agg(F.min("rep").alias("best"))
+    found = nodes.select("node", "rep").join(label.join(best, "label").select("node", "best"), "node", "left")
+    found = found.select("node", F.coalesce("best", "rep").alias("best"))
+    return slim.join(found, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"), "key",
+        F.when(F.col("best").isNull(), True).otherwise(own.eqNullSafe(F.col("best"))).alias("first_of_class"),
+    )
+
+
+def _members(docs: DataFrame, scheme: Scheme, size: int, text_col: str, turn: int) -> DataFrame:
+    """(signature, node) of one pass, of the nodes that share as many signatures as a link needs."""
+
+    def shared(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+        return rows.join(several.select("signature").hint("shuffle_hash"), "signature")
+
+    dealt = map_texts(docs, _signed(scheme, size, turn), "signature bigint, node bigint, least int", text=text_col).repartition("signature")
+    now = cut(shared(dealt).distinct())
+    n = now.count()
+    while True:
+        enough = now.groupBy("node").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n >= least")
+        before, now = now, cut(shared(now.join(enough.select("node"), "node", "left_semi")))
+        drop(before)
+        was, n = n, now.count()
+        if n >= 0.9 * was:
+            return now
 
 
 def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect all that are connected."""
-    spark = docs.sparkSession
-    member = None
-    for turn in range(scheme.passes):
-        free_shuffles(spark)
-        found = _members(docs, scheme, size, text_col, turn)
-        member = found if member is None else member.union(found)
-    free_shuffles(spark)
-    small = nodes.select("node", "n", "sketch")
-
-    def may_link(pairs: DataFrame) -> DataFrame:
-        x = small.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x"))
-        y = small.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
-        return cut(pairs.distinct().join(x, "a").join(y, "b").filter(_may_link(scheme)).select("a", "b"))
+    passes = [_members(docs, scheme, size, text_col, turn) for turn in range(scheme.passes)]
+    member = passes[0]
+    for more in passes[1:]:
+        member = member.union(more)
+    whole = nodes.join(member.select("node").distinct(), "node", "left_semi")
+    folded = F.expr(f"transform(sequence(1, {SHORT_LONGS}), k -> {_FOLDED})")
+    whole = cut(whole.select("node", "rep", "n", "sketch", folded.alias("short")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return _verified(pairs, _sets_of(docs, nodes, wanted, size, id_col, text_col), scheme)
-
-    ends = member.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    ends = member.join(ends, "signature")
+        x = whole.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x"))
+        y = whole.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
+        near = cut(pairs.distinct().join(x, "a").join(y, "b").filter(_may_link(scheme)).select("a", "b"))
+        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        sets = _sets_of(docs, whole, wanted, size, id_col, text_col)
+        links = _verified(near, sets, scheme)
+        drop(near, sets)
+        return links
+
+    # each node against the ends of its group, and of the parts of the group with an equal piece of the sketch
+    pieces = member.join(whole.select("node", "short"), "node")
+    pieces = pieces.select("signature", "node", F.posexplode(F.array(F.lit(0).cast("bigint"), *(F.col("short")[k] for k in range(SHORT_LONGS)))).alias("k", "piece"))
+    ends = pieces.groupBy("signature", "k", "piece").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    ends = pieces.join(ends, ["signature", "k", "piece"])
     pairs = ends.select(F.col("low").alias("a"), F.col("node").alias("b")).union(ends.select("node", "high")).filter("a < b")
-    first = verified(may_link(pairs))
-    label = components(first)
-    free_shuffles(spark)
+    first = verified(pairs)
     # a signature whose members are all in one component has nothing left to find
-    where = member.join(label, "node", "left").select("signature", "node", F.coalesce("label", "node").alias("label"))
+    where = member.select("signature", "node").join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    where = cut(where)
     left = where.groupBy("signature").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("signature")
-    folded = nodes.select("node", "n", F.expr(f"transform(sequence(1, {SHORT_LONGS}), k -> {_FOLDED})").alias("sketch"))
-    side = cut(where.join(left, "signature", "left_semi").join(folded, "node"))
+    side = cut(where.join(left, "signature", "left_semi").join(whole.select("node", "n", F.col("short").alias("sketch")), "node"))
+    drop(where, *passes)
     across = side.alias("x").join(side.alias("y"), F.expr(
-        f"x.signature = y.signature and x.node < y.node and x.label != y.label and {_may_link(scheme)}"
+        f"x.signature = y.signature and x.label < y.label and {_may_link(scheme)}"
     )).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    second = verified(may_link(across))
+    across = cut(across.distinct())
+    second = verified(across)
+    drop(side, across, whole)
     return first.union(second)
 
 
-def _members(docs: DataFrame, scheme: Scheme, size: int, text_col: str, turn: int) -> DataFrame:
-    """(signature, node) of the signatures that two nodes or more have, dealt by signature once."""
-    member = map_texts(docs, _signed(scheme, size, turn), "signature bigint, node bigint", text=text_col).repartition("signature")
-    several = member.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    return cut(member.join(several.select("signature").hint("shuffle_hash"), "signature").distinct())
-
-
 def _sets_of(docs, nodes, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """The sets of some nodes, made again from one text each; most texts share no signature."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rep = nodes.join(wanted, "node", "left_semi").select(name(F.col("rep.doc_id")).alias("rep_name"), F.col("rep.key").alias("rep_key"))
-    texts = docs.select(F.xxhash64(docs[text_col]).alias("own_key"), name(docs[id_col]).alias("own_name"), docs[text_col].alias("text"))
+    rep = cut(rep)
+    text = named(docs, text_col)
+    texts = docs.select(F.xxhash64(text).alias("own_key"), name(named(docs, id_col)).alias("own_name"), text.alias("text"))
     texts = _on_bits(texts, "own_key", docs.sparkSession.sparkContext.broadcast(_bits(rep, "rep_key")))
     texts = texts.join(rep, F.expr("own_key = rep_key and own_name = rep_name"), "left_semi")
     texts = texts.dropDuplicates(["own_key", "own_name"])
-    return cut(map_texts(texts, _sets(size), "node bigint, features array<bigint>", text="text"))
+    sets = cut(map_texts(texts, _sets(size), "node bigint, features array<bigint>", text="text"))
+    drop(rep)
+    return sets
 
 
 def _bits(keys: DataFrame, key: str) -> np.ndarray:
-    """A set of FILTER_BITS bits on which the keys fall, whatever their number: 4 MB on the driver."""
+    """A set of FILTER_BITS bits on which the keys fall, whatever their number: 2 MB on the driver."""
     slot = keys.select(F.pmod(key, F.lit(FILTER_BITS)).alias("k"))
     words = slot.groupBy(F.expr("k div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 32 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 32, np.int64)
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return bits
 
@@ -353,7 +411,7 @@ def _on_bits(rows: DataFrame, key: str, bits, wanted: bool = True) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.column(key).to_numpy() % FILTER_BITS
-            yield b.filter(pa.array((bits.value[k // 32] >> k % 32 & 1).astype(bool) == wanted))
+            yield b.filter(pa.array((bits.value[k // 32] >> (k % 32).astype(np.uint32) & np.uint32(1)).astype(bool) == wanted))
 
     return map_texts(rows, run, rows.schema, **{c: c for c in rows.columns})
 
@@ -366,17 +424,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     return cut(both.filter(f"100 * same >= {scheme.percent} * (size(f) + size(g) - same)").select("a", "b"))
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents, one of each class: those that carry the class's id.  Rows that repeat an id
-    stay or go together, but equal rows become one.  Only documents whose id falls on a bit of a dropped
-    one are shuffled with their texts."""
+def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, one of each class of ``similarity_classes``: that with the
+    smallest id, of several rows with this id that with the smallest digest of its text; of rows equal in id
+    and text one stays.  Texts without words are in no class and all stay.  Only documents whose digest falls
+    on a bit of a dropped or repeated one are shuffled with their texts."""
     spark = docs.sparkSession
-    classes = cut(classes)
-    free_shuffles(spark)
-    gone = classes.filter("doc_id != component_id").select("doc_id").distinct().withColumn("_key", F.xxhash64("doc_id"))
-    bits = spark.sparkContext.broadcast(_bits(gone, "_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(docs[id_col]))
-    maybe = _on_bits(keyed, "_key", bits).alias("x").join(gone.alias("g"), F.col(f"x.{id_col}") == F.col("g.doc_id"), "left_anti")
-    kept = _on_bits(keyed, "_key", bits, wanted=False).unionByName(maybe).drop("_key")
-    repeats = classes.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates() if repeats else kept
+    rows = classes.filter("n_shingles > 0").groupBy("doc_id", "key").agg(F.count("*").alias("n"), (~F.bool_or("first_of_class")).alias("gone"))
+    rows = cut(rows.filter("gone or n > 1").select("gone", F.col("doc_id").alias("id"), "key", F.xxhash64("doc_id", "key").alias("digest")))
+    bits = spark.sparkContext.broadcast(_bits(rows, "digest"))
+    own_id, own_key = named(docs, id_col), F.xxhash64(named(docs, text_col))
+    packed = docs.select(F.struct(*(named(docs, c) for c in docs.columns)).alias("row"), own_id.alias("id"), own_key.alias("key"), F.xxhash64(own_id, own_key).alias("digest"))
+    clear = _on_bits(packed, "digest", bits, wanted=False).select("row.*")
+    same = F.expr("x.digest = g.digest and x.key = g.key and x.id <=> g.id")
+    maybe = _on_bits(packed, "digest", bits).alias("x").join(rows.alias("g"), same, "left").select("x.*", "g.gone")
+    once = maybe.filter("gone is not null and not gone").dropDuplicates(["id", "key"])
+    return clear.union(maybe.filter("gone is null").select("row.*")).union(once.select("row.*"))
