@@ -24,11 +24,10 @@ def buff_table(f: Frames) -> DataFrame:
     """(log_id, buff_id, capacity, side_by_side): the log's own capacity (its last one, 99 at most) or the
     fixed one."""
     fixed = [(b, CAPACITY[b], i) for b, (_, i) in BOONS.items()] + [(b, c, i) for b, (_, i, c) in {**CONDITIONS, **CONTROLS}.items()]
-    spark = f.events.sparkSession
-    rows = spark.createDataFrame(fixed, "buff_id bigint, capacity int, side_by_side boolean")
+    rows = [F.struct(F.lit(b).cast("bigint").alias("buff_id"), F.lit(c).alias("capacity"), F.lit(i).alias("side_by_side")) for b, c, i in fixed]
     told = f.events.filter((F.col("is_statechange") == State.BUFF_INFO) & (F.col("src_master_instid") > 0))
     told = told.groupBy("log_id", F.col("skillid").alias("buff_id")).agg(F.least(F.max_by("src_master_instid", "seq"), F.lit(99)).alias("told"))
-    return f.logs.select("log_id").crossJoin(F.broadcast(rows)).join(told, ["log_id", "buff_id"], "left").select("log_id", "buff_id", F.coalesce("told", "capacity").alias("capacity"), "side_by_side")
+    return f.logs.select("log_id", F.explode(F.array(*rows)).alias("r")).select("log_id", "r.*").join(told, ["log_id", "buff_id"], "left").select("log_id", "buff_id", F.coalesce("told", "capacity").alias("capacity"), "side_by_side")
 
 
 def buff_events(f: Frames, holders: str = "squad") -> DataFrame:
@@ -179,7 +178,7 @@ STEPS = "log_id string, rep bigint, buff_id bigint, time bigint, stacks int"
 
 def stack_steps(f: Frames, holders: str = "squad") -> DataFrame:
     """Change points of the number of stacks by holder and buff, up to the log's end."""
-    rows = buff_events(f, holders).join(F.broadcast(buff_table(f)), ["log_id", "buff_id"]).join(F.broadcast(f.bounds.select("log_id", "t1")), "log_id")
+    rows = buff_events(f, holders).join(f.like_logs(buff_table(f)), ["log_id", "buff_id"]).join(f.log_times.select("log_id", "t1"), "log_id")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["time", "seq"])
@@ -194,7 +193,7 @@ def stack_steps(f: Frames, holders: str = "squad") -> DataFrame:
 def uptime(f: Frames, steps: DataFrame | None = None) -> DataFrame:
     """Share of the log with any stack, in percent, and mean stacks over the log."""
     steps = stack_steps(f) if steps is None else steps
-    steps = steps.join(F.broadcast(f.bounds), "log_id")
+    steps = steps.join(f.log_times, "log_id")
     spans = step_spans(steps, ["log_id", "rep", "buff_id", "t0", "t1", "duration_ms"], "time", "stacks", F.col("t1"))
     span = F.col("stop") - F.col("start")
     length = F.greatest(F.first("duration_ms"), F.lit(1))

@@ -20,7 +20,7 @@ def squad_damage(f: Frames) -> DataFrame:
         F.sum("dmg").alias("damage"), sum_if(F.col("is_pet"), F.col("dmg")).alias("pet_damage"), F.count("*").alias("hits")
     )
     seconds = F.greatest(F.col("duration_ms") / 1000.0, F.lit(1.0))
-    return total.join(F.broadcast(f.bounds), "log_id").select("log_id", "rep", "damage", "pet_damage", "hits", F.round(F.col("damage") / seconds, 3).alias("dps"))
+    return total.join(f.log_times, "log_id").select("log_id", "rep", "damage", "pet_damage", "hits", F.round(F.col("damage") / seconds, 3).alias("dps"))
 
 
 def damage_per_target(f: Frames) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_cast_start, is_combat_row
-from ..plans.frames import Frames
-from ..plans.joins import asof_join
+from ..plans.frames import Frames, shared_folder
+from ..plans.joins import asof_join, small
 from ..schema import State
 
 NO_PLAYER = 0xFFFFFFFF
@@ -52,7 +51,7 @@ def described(agents: DataFrame) -> DataFrame:
 
 def first_instid(f: Frames) -> DataFrame:
     """(log_id, addr, instid): the session id an address used first."""
-    return f.ownership.groupBy("log_id", "addr").agg(F.min_by("instid", F.struct("time", "instid")).alias("instid"))
+    return f.ends.groupBy("log_id", "addr").agg(F.min_by("instid", F.struct("time", "instid")).alias("instid"))
 
 
 def recorders(events: DataFrame) -> DataFrame:
@@ -77,24 +76,26 @@ def same_accounts(players: DataFrame, instids: DataFrame) -> DataFrame:
     return rows.join(first, ["log_id", "key"]).select("log_id", "addr", "rep").distinct()
 
 
-def affinity(f: Frames, players: DataFrame, recorder: DataFrame, most_rounds: int = 50) -> DataFrame:
+def affinity(f: Frames, players: DataFrame, recorder: DataFrame) -> DataFrame:
     """(log_id, addr, friendly): sides from who treats whom as friend or foe, starting at the recorder.
 
     Each round settles the players whose settled neighbours give a majority; rounds end when none
-    settles.  Edges are counted once, by pair, and kept; a round is one join and one sum."""
+    settles.  Edges are counted once, by pair, and stored; a round is one join and one sum, and stored in the
+    place of the round before."""
+    shared_folder(f.events.sparkSession)
     rows = f.events.filter(is_combat_row() & (F.col("iff") <= 1) & ((F.col("value") != 0) | (F.col("buff_dmg") != 0)) & (F.col("src_agent") != F.col("dst_agent")))
     for end in ("src_agent", "dst_agent"):
-        rows = rows.join(F.broadcast(players.select("log_id", F.col("addr").alias(end)).distinct()), ["log_id", end], "left_semi")
+        rows = rows.join(small(players.select("log_id", F.col("addr").alias(end)).distinct()), ["log_id", end], "left_semi")
     sign = F.when(F.col("iff") == 0, 1).otherwise(-1)
     edges = rows.groupBy("log_id", F.col("src_agent").alias("a"), F.col("dst_agent").alias("b")).agg(F.sum(sign).alias("w"))
-    edges = edges.union(edges.select("log_id", F.col("b"), F.col("a"), "w")).groupBy("log_id", "a", "b").agg(F.sum("w").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+    edges = edges.union(edges.select("log_id", F.col("b"), F.col("a"), "w")).groupBy("log_id", "a", "b").agg(F.sum("w").alias("w")).checkpoint()
     settled = recorder.select("log_id", "addr", F.lit(1).alias("side"))
     n = settled.count()
-    for _ in range(most_rounds):
+    while True:
         open_ = edges.join(settled.withColumnRenamed("addr", "a"), ["log_id", "a"], "left_anti")
         votes = open_.join(settled.withColumnRenamed("addr", "b"), ["log_id", "b"]).groupBy("log_id", F.col("a").alias("addr")).agg(F.sum(F.col("w") * F.col("side")).alias("v"))
         new = votes.filter("v != 0").select("log_id", "addr", F.signum("v").cast("int").alias("side"))
-        settled = settled.union(new).persist(StorageLevel.MEMORY_AND_DISK)
+        settled = settled.union(new).checkpoint()
         if (now := settled.count()) == n:
             break
         n = now
@@ -127,7 +128,7 @@ def marker_spans(f: Frames) -> DataFrame:
     log's end; value 0 only closes."""
     rows = f.events.filter(F.col("is_statechange") == State.MARKER).select("log_id", F.col("src_agent").alias("addr"), "time", "seq", F.col("value").alias("marker"))
     w = Window.partitionBy("log_id", "addr").orderBy("time", "seq")
-    rows = rows.withColumn("stop", F.lead("time").over(w)).join(F.broadcast(f.bounds), "log_id")
+    rows = rows.withColumn("stop", F.lead("time").over(w)).join(f.log_times, "log_id")
     return rows.filter("marker != 0").select("log_id", "addr", "marker", (F.col("time") - F.col("t0")).alias("start"), (F.coalesce("stop", "t1") - F.col("t0")).alias("stop"))
 
 
@@ -141,7 +142,7 @@ def ground_markers(f: Frames) -> DataFrame:
     was = lambda k: F.lag(k).over(w)
     near = (F.abs(F.col("x") - was("x")) < 1e-6) & (F.abs(F.col("y") - was("y")) < 1e-6) & (F.abs(F.col("z") - was("z")) < 1e-6)
     same = F.when(was("gone").isNull(), F.col("gone")).otherwise((F.col("gone") & was("gone")) | (~F.col("gone") & ~was("gone") & near))
-    rows = rows.withColumn("same", same).filter("not same").withColumn("stop", F.lead("time").over(w)).filter("not gone").join(F.broadcast(f.bounds), "log_id")
+    rows = rows.withColumn("same", same).filter("not same").withColumn("stop", F.lead("time").over(w)).filter("not gone").join(f.log_times, "log_id")
     return rows.select("log_id", "index", (F.col("time") - F.col("t0")).alias("start"), (F.coalesce("stop", "t1") - F.col("t0")).alias("stop"), "x", "y", "z")
 
 
@@ -166,7 +167,7 @@ def objective_owners(events: DataFrame, objectives: DataFrame) -> DataFrame:
     rows = events.filter(F.col("is_statechange") == State.OBJECTIVE).select("log_id", F.col("src_agent").alias("objective_id"), "time", "seq", F.col("value").alias("owner"))
     w = Window.partitionBy("log_id", "objective_id").orderBy("time", "seq")
     rows = rows.withColumn("was", F.lag("owner").over(w)).filter(~F.col("was").eqNullSafe(F.col("owner")))
-    return rows.join(F.broadcast(objectives), "objective_id").select("log_id", "objective_id", "name", F.col("time").alias("at"), "owner")
+    return rows.join(small(objectives), "objective_id").select("log_id", "objective_id", "name", F.col("time").alias("at"), "owner")
 
 
 def owner_at(f: Frames, probes: DataFrame, instid: str = "instid") -> DataFrame:
@@ -181,6 +182,6 @@ def skill_names(ids: DataFrame, *tables: DataFrame) -> DataFrame:
     names = []
     for k, t in enumerate(tables):
         good = (F.trim("name") != "") & (F.trim("name") != F.col("id").cast("string"))
-        out = out.join(F.broadcast(t.filter(good).groupBy("id").agg(F.last("name").alias(f"n{k}"))), "id", "left")
+        out = out.join(small(t.filter(good).groupBy("id").agg(F.last("name").alias(f"n{k}"))), "id", "left")
         names.append(F.col(f"n{k}"))
     return out.select("id", F.coalesce(*names, F.concat(F.lit("Skill "), F.col("id").cast("string"))).alias("name"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frames import Frames
+from ..plans.joins import small
 from ..schema import BOONS
 from .buffs import REMOVE_MATCH_MS, buff_events, buff_table
 from .damage import pet_owners
@@ -91,8 +92,8 @@ def generated(f: Frames, agents: DataFrame | None = None) -> DataFrame:
     rows = rows.join(f.members("squad", "giver", "giver_rep"), ["log_id", "giver"], "left").withColumn("source", F.coalesce("giver_rep", "giver"))
     power = F.lit(0) if agents is None else F.coalesce("healing", F.lit(0))
     if agents is not None:
-        rows = rows.join(F.broadcast(agents.select("log_id", F.col("addr").alias("source"), "healing").dropDuplicates(["log_id", "source"])), ["log_id", "source"], "left")
-    rows = rows.withColumn("power", power).join(F.broadcast(buff_table(f)), ["log_id", "buff_id"]).join(F.broadcast(f.bounds.select("log_id", "t1")), "log_id")
+        rows = rows.join(small(agents.select("log_id", F.col("addr").alias("source"), "healing").dropDuplicates(["log_id", "source"])), ["log_id", "source"], "left")
+    rows = rows.withColumn("power", power).join(f.like_logs(buff_table(f)), ["log_id", "buff_id"]).join(f.log_times.select("log_id", "t1"), "log_id")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["time", "seq"])
@@ -120,7 +121,7 @@ def generation(f: Frames, by: DataFrame | None = None) -> DataFrame:
     sums = rows.groupBy("log_id", "source", "own_group", "buff_id").agg(*(
         total(c, f"{what}_ms").alias(f"{name}_{what}") for what in ("held", "wasted") for name, c in (("self", own), ("group", ~own & same), ("squad", ~own))
     ))
-    sums = sums.join(groups.withColumnRenamed("subgroup", "own_group"), ["log_id", "own_group"]).join(squads, "log_id").join(F.broadcast(f.bounds), "log_id")
+    sums = sums.join(groups.withColumnRenamed("subgroup", "own_group"), ["log_id", "own_group"]).join(squads, "log_id").join(f.log_times, "log_id")
     scale = F.when(F.col("buff_id").isin(*(b for b, (_, stacks) in BOONS.items() if stacks)), 1.0).otherwise(100.0) / F.greatest(F.col("duration_ms"), F.lit(1))
     share = lambda name, n: F.round(F.when(n > 0, F.col(name) * scale / n).otherwise(0.0), 3).alias(name)
     counts = {"self": F.lit(1), "group": F.col("group_others"), "squad": F.col("squad_others")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import damage, is_combat_row
 from ..plans.frames import Frames
+from ..plans.joins import small
 from ..schema import Result, State
 from .buffs import buff_events
 
@@ -52,7 +53,7 @@ def instant_casts(f: Frames, rules: DataFrame | None = None) -> DataFrame:
     """(log_id, caster, skill_id, rule_id, time): triggers that pass their rule's check, at its gap."""
     rules = f.events.sparkSession.createDataFrame(list(SAMPLE_RULES), RULES) if rules is None else rules
     seen = triggers(f)
-    hits = seen.join(F.broadcast(rules), ["trigger", "trigger_id"])
+    hits = seen.join(small(rules), ["trigger", "trigger_id"])
     gains = seen.filter("trigger = 'gain'").select("log_id", "caster", F.col("trigger_id").alias("near_buff"), F.col("time").alias("near_time")).distinct()
     checked = hits.filter("near_buff is not null")
     widest = rules.agg(F.coalesce(F.max("near_ms"), F.lit(1))).first()[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import connected, damage, hit_kind, is_combat_row
 from ..plans.frames import Frames
-from ..plans.joins import asof_join
+from ..plans.joins import asof_join, small
 from ..schema import Result
 from .buffs import stack_steps
 
@@ -26,6 +26,7 @@ SAMPLE_RULES = (
     (9, None, 15.0, "presence", None, "crit", "strike"),
 )
 MOST_RULES = 100_000
+KINDS = ("condition", "strike", "leech", "power")
 
 
 def gain() -> Column:
@@ -66,8 +67,8 @@ def damage_modifiers(f: Frames, rules: DataFrame | None = None, steps: DataFrame
     hits = hits.join(f.side("squad", "src"), ["log_id", "src_agent"]).join(f.side("enemy", "dst"), ["log_id", "dst_agent"], "left_semi").withColumnRenamed("src_rep", "rep")
     hits = hits.select("log_id", "rep", "time", "seq", "dmg", "kind", "is_moving", "is_ninety", "is_fifty", "is_flanking", "result", "is_shields", "is_offcycle")
     which = F.col("counts")
-    fits = (which == "all") | (which == F.col("kind")) | ((which == "power") & F.col("kind").isin("strike", "leech", "power"))
-    pairs = hits.join(F.broadcast(rules), fits)
+    kinds = F.when(which == "all", F.array(*map(F.lit, KINDS))).when(which == "power", F.array(*map(F.lit, KINDS[1:]))).otherwise(F.array(which))
+    pairs = hits.join(small(rules.withColumn("kind", F.explode(kinds))), "kind")
     plain = pairs.filter("buff_id is null").withColumn("stacks", F.lit(1))
     known = steps.select("log_id", "rep", "buff_id", "time", "stacks").withColumn("order", F.col("time"))
     buffed = asof_join(pairs.filter("buff_id is not null"), known, ["log_id", "rep", "buff_id"], "time", "stacks", order="order", out="stacks").fillna(0, ["stacks"])

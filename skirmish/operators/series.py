@@ -22,7 +22,7 @@ def squad_timeline(f: Frames, step: int = 1000) -> DataFrame:
     downs = own.filter((F.col("is_statechange") == 0) & (F.col("result") == Result.DOWNED)).select("log_id", "time", F.lit("downs").alias("what"), F.lit(1).cast("bigint").alias("n"))
     strips = f.events.filter(is_remove_all() & F.col("skillid").isin(*BOONS)).join(f.side("squad", "dst"), ["log_id", "dst_agent"]).join(f.side("enemy", "src"), ["log_id", "src_agent"])
     strips = strips.select("log_id", "time", F.lit("strips").alias("what"), F.lit(1).cast("bigint").alias("n"))
-    rows = dealt.union(cc).union(downs).union(strips).join(F.broadcast(f.bounds), "log_id").groupBy("log_id", at)
+    rows = dealt.union(cc).union(downs).union(strips).join(f.log_times, "log_id").groupBy("log_id", at)
     names = ("damage", "cc", "downs", "strips")
     sums = rows.agg(*(F.sum(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names))
     empty = grid(f.bounds.select("log_id", "duration_ms"), F.lit(0).cast("bigint"), F.floor(F.col("duration_ms") / step), 1, "bucket")
@@ -34,7 +34,7 @@ def cumulative_damage(f: Frames, step: int = 1000) -> DataFrame:
     grid has one bucket more if the log's length isn't a multiple.  Later rows are left out.  Only buckets
     where it changes have a row."""
     enemy = f.members("enemy", "dst_agent", "target")
-    rows = f.credited_hits.join(enemy, ["log_id", "dst_agent"], "left").filter("is_pet or target is not null").join(F.broadcast(f.bounds), "log_id")
+    rows = f.credited_hits.join(enemy, ["log_id", "dst_agent"], "left").filter("is_pet or target is not null").join(f.log_times, "log_id")
     last = F.floor(F.col("duration_ms") / step) + (F.col("duration_ms") % step != 0).cast("int")
     bucket = F.ceil(F.greatest(F.col("time") - F.col("t0"), F.lit(0)) / step)
     sums = rows.withColumn("bucket", bucket).filter(F.col("bucket") <= last).groupBy("log_id", "rep", "bucket").agg(F.sum("dmg").alias("dmg"))
@@ -48,7 +48,7 @@ def enemy_series(f: Frames, step: int = 1000) -> DataFrame:
     own = rows.join(f.side("enemy", "src"), ["log_id", "src_agent"]).select("log_id", "time", "dmg", F.col("src_rep").alias("rep"))
     others = rows.join(f.side("enemy", "src"), ["log_id", "src_agent"], "left_anti").filter("src_master_instid != 0").select("log_id", "time", "dmg", "src_master_instid")
     pets = f.owners(others, "src_master_instid", "owner").join(f.members("enemy", "owner", "rep"), ["log_id", "owner"]).select("log_id", "time", "dmg", "rep")
-    both = own.union(pets).join(F.broadcast(f.bounds), "log_id")
+    both = own.union(pets).join(f.log_times, "log_id")
     return both.groupBy("log_id", "rep", F.ceil((F.col("time") - F.col("t0")) / step).alias("bucket")).agg(F.sum("dmg").alias("damage"))
 
 
@@ -58,7 +58,7 @@ def entity_series(f: Frames, step: int = 1000) -> DataFrame:
     given = rows.join(f.side("squad", "src"), ["log_id", "src_agent"]).join(f.side("enemy", "dst"), ["log_id", "dst_agent"], "left_semi")
     given = given.select("log_id", "time", F.col("src_rep").alias("rep"), F.lit(1).alias("applied"), F.lit(0).alias("taken"))
     taken = rows.join(f.side("squad", "dst"), ["log_id", "dst_agent"]).select("log_id", "time", F.col("dst_rep").alias("rep"), F.lit(0).alias("applied"), F.lit(1).alias("taken"))
-    both = given.union(taken).join(F.broadcast(f.bounds), "log_id")
+    both = given.union(taken).join(f.log_times, "log_id")
     return both.groupBy("log_id", "rep", F.floor((F.col("time") - F.col("t0")) / step).alias("bucket")).agg(F.sum("applied").alias("cc_applied"), F.sum("taken").alias("cc_taken"))
 
 
@@ -76,7 +76,7 @@ def health_steps(f: Frames) -> DataFrame:
     """Health of each account as steps (ms since the log's start, hundredths of a percent): the first
     value holds from the start, equal neighbours are one, what starts at the log's end is left out."""
     rows = f.events.filter(F.col("is_statechange") == State.HEALTH).join(f.side("squad", "src"), ["log_id", "src_agent"])
-    rows = rows.select("log_id", F.col("src_rep").alias("rep"), "time", "seq", F.least("dst_agent", F.lit(10000)).alias("health")).join(F.broadcast(f.bounds), "log_id")
+    rows = rows.select("log_id", F.col("src_rep").alias("rep"), "time", "seq", F.least("dst_agent", F.lit(10000)).alias("health")).join(f.log_times, "log_id")
     rows = rows.withColumn("at_ms", F.greatest(F.least("time", "t1"), "t0"))
     first = Window.partitionBy("log_id", "rep").orderBy("time", "seq")
     rows = rows.withColumn("at_ms", F.when(F.row_number().over(first) == 1, F.col("t0")).otherwise(F.col("at_ms")))
@@ -93,7 +93,7 @@ def casts(f: Frames) -> DataFrame:
     time_gained is negative for interrupted casts."""
     stop_codes = F.col("is_statechange") == State.ANIMATION_STOP
     rows = f.events.filter(F.col("post_era") & F.col("is_statechange").isin(State.ANIMATION_START, State.ANIMATION_STOP)).join(f.side("squad", "src"), ["log_id", "src_agent"])
-    rows = rows.join(F.broadcast(f.bounds), "log_id").select(
+    rows = rows.join(f.log_times, "log_id").select(
         "log_id", F.col("src_rep").alias("rep"), "skillid", (F.col("time") - F.col("t0")).alias("at_ms"), "seq", stop_codes.alias("stop"),
         F.col("value").cast("bigint").alias("value"), F.col("buff_dmg").cast("bigint").alias("buff_dmg"), F.col("is_activation").alias("code"), "duration_ms",
     )
@@ -129,14 +129,14 @@ def cast_summary(f: Frames) -> DataFrame:
         F.count_if(wasted).alias("wasted"), F.coalesce(F.sum(F.when(wasted, -F.col("time_gained"))), F.lit(0)).alias("wasted_ms"),
     )
     minutes = F.greatest(F.col("duration_ms"), F.lit(1)) / 60000.0
-    return got.join(F.broadcast(f.bounds), "log_id").select("log_id", "rep", "casts", "saved", "saved_ms", "wasted", "wasted_ms", F.round(F.col("casts") / minutes, 3).alias("casts_per_minute"))
+    return got.join(f.log_times, "log_id").select("log_id", "rep", "casts", "saved", "saved_ms", "wasted", "wasted_ms", F.round(F.col("casts") / minutes, 3).alias("casts_per_minute"))
 
 
 def state_intervals(f: Frames) -> DataFrame:
     """Down and dead intervals of each agent (ms since the log's start).  A down lasts to the next death
     or rise, or is forgotten at another down; a death lasts to the next rise; open ones are left out."""
     rows = f.events.filter(F.col("is_statechange").isin(State.UP, State.DEAD, State.DOWN)).join(f.side("squad", "src"), ["log_id", "src_agent"])
-    rows = rows.join(F.broadcast(f.bounds), "log_id").select("log_id", F.col("src_rep").alias("rep"), "time", "seq", F.col("is_statechange").alias("s"), "t0")
+    rows = rows.join(f.log_times, "log_id").select("log_id", F.col("src_rep").alias("rep"), "time", "seq", F.col("is_statechange").alias("s"), "t0")
     w = Window.partitionBy("log_id", "rep").orderBy("time", "seq")
     after = w.rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("next", F.lead("s").over(w)).withColumn("next_t", F.lead("time").over(w)).withColumn("was", F.lag("s").over(w))
@@ -150,7 +150,7 @@ def active_time(f: Frames) -> DataFrame:
     """Log time of each account without its dead intervals."""
     dead = state_intervals(f).filter("state = 'dead'").groupBy("log_id", "rep").agg(F.sum(F.col("stop") - F.col("start")).alias("dead_ms"))
     who = f.roster.filter("side = 'squad'").select("log_id", "rep").distinct()
-    out = who.join(F.broadcast(f.bounds), "log_id").join(dead, ["log_id", "rep"], "left")
+    out = who.join(f.log_times, "log_id").join(dead, ["log_id", "rep"], "left")
     return out.select("log_id", "rep", F.greatest(F.col("duration_ms") - F.coalesce("dead_ms", F.lit(0)), F.lit(0)).alias("active_ms"))
 
 
@@ -158,7 +158,7 @@ def tracks(f: Frames, step: int = 300) -> DataFrame:
     """Positions of the squad every ``step`` ms between an agent's first and last one: between two
     positions on the straight line, in single precision."""
     rows = f.events.filter(F.col("is_statechange").isin(State.POSITION, State.TELEPORT)).join(f.side("squad", "src"), ["log_id", "src_agent"])
-    rows = rows.join(F.broadcast(f.bounds), "log_id").groupBy("log_id", F.col("src_rep").alias("rep"), (F.col("time") - F.col("t0")).alias("at_ms")).agg(F.max_by(F.struct("x", "y", "z"), "seq").alias("p"))
+    rows = rows.join(f.log_times, "log_id").groupBy("log_id", F.col("src_rep").alias("rep"), (F.col("time") - F.col("t0")).alias("at_ms")).agg(F.max_by(F.struct("x", "y", "z"), "seq").alias("p"))
     w = Window.partitionBy("log_id", "rep").orderBy("at_ms")
     legs = rows.withColumn("n_at", F.lead("at_ms").over(w)).withColumn("n", F.lead("p").over(w))
     first = (F.ceil(F.col("at_ms") / step) * step).cast("bigint")

@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that are broadcast at most.
+MOST_BROADCAST = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast if they are counted to be few; else Spark is left to shuffle them.
+    Streams can't be counted, so they are never marked."""
+    if df.isStreaming:
+        return df
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def asof_join(probes: DataFrame, facts: DataFrame, keys: list[str], time: str, value: str, order: str = "seq", out: str = "found") -> DataFrame:
     """Each probe with the value of the last fact of its key at or before its time, or null.
 

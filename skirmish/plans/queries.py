@@ -35,6 +35,19 @@ def _windows(f: Frames) -> DataFrame:
     return support.down_windows(f).select("log_id", "target", "side", "t_down", "down_seq", "lo")
 
 
+#: SQL that goes before all of the healing: its rows, with accounts.
+_HEAL = """
+        , told AS (SELECT DISTINCT log_id FROM combat WHERE is_statechange = 40 AND pad = 0 AND src_agent % 4294967296 = 2627419289 AND src_agent // 4294967296 IN (1, 2)),
+        d AS (SELECT log_id, seq, time, src_instid, dst_instid, skillid, buff = 0 AS direct, is_shields > 0 AS barrier, -CASE WHEN buff = 0 THEN value ELSE buff_dmg END AS a, is_offcycle & 32 <> 0 OR (buff = 0 AND is_offcycle & 63 = 1) AS down,
+            is_offcycle & 128 <> 0 OR is_offcycle & 192 = 0 AS peer
+          FROM combat SEMI JOIN told USING (log_id) WHERE ((is_statechange = 40 AND pad <> 0) OR is_statechange = 49) AND pad = 2627419289 AND iff = 0 AND CASE WHEN buff = 0 THEN value < 0 ELSE value = 0 AND buff_dmg < 0 END),
+        e AS (SELECT d.*, r.addr AS healer FROM d ASOF JOIN reg r ON d.log_id = r.log_id AND d.src_instid = r.instid AND d.time >= r.time),
+        g AS (SELECT e.*, r.addr AS target FROM e ASOF JOIN reg r ON e.log_id = r.log_id AND e.dst_instid = r.instid AND e.time >= r.time),
+        k AS (SELECT *, bool_or(peer) OVER (PARTITION BY log_id, healer, barrier) AS any_peer FROM g),
+        heal AS (SELECT k.log_id, k.time, k.skillid, k.a, direct, barrier, down, coalesce(s.rep, o.rep) AS rep, coalesce(t.rep, k.target) AS target FROM k LEFT JOIN squad s ON s.log_id = k.log_id AND s.addr = k.healer
+          LEFT JOIN owned w ON w.log_id = k.log_id AND w.seq = k.seq LEFT JOIN squad o ON o.log_id = k.log_id AND o.addr = w.owner LEFT JOIN roster t ON t.log_id = k.log_id AND t.addr = k.target
+          WHERE (peer OR NOT any_peer) AND coalesce(s.rep, o.rep) IS NOT NULL)"""
+
 #: name -> (operator, SQL over the prelude or None where SQL can't express it)
 _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "squad_damage": (damage.squad_damage, """
@@ -124,7 +137,10 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
             WHEN r.addr IS NOT NULL THEN 'm' END AS kind
           FROM base b LEFT JOIN (SELECT log_id, addr FROM squad WHERE subgroup <> 0) r ON r.log_id = b.log_id AND r.addr = b.owner WHERE remove_all AND (cond OR boon) AND d_rep IS NOT NULL) WHERE kind IS NOT NULL GROUP BY 1, 2"""),
     "resurrects": (support.resurrects, "SELECT log_id, s_rep AS rep, count(*) AS resurrects FROM base WHERE s_rep IS NOT NULL AND skillid = 1066 AND CASE WHEN post_era THEN is_statechange = 67 ELSE is_statechange = 0 AND is_activation IN (1, 2) END GROUP BY 1, 2"),
-    "strips_taken": (support.strips_taken, "SELECT log_id, s_rep AS rep, count(*) AS strips_taken, CAST(sum(pos) AS BIGINT) AS stripped_ms FROM base WHERE remove_all AND boon AND s_rep IS NOT NULL AND coalesce(d_rep, de_rep) <> s_rep GROUP BY 1, 2"),
+    "strips_taken": (support.strips_taken, """
+        SELECT b.log_id, s_rep AS rep, count(*) AS strips_taken, CAST(sum(pos) AS BIGINT) AS stripped_ms FROM base b LEFT JOIN mastered m ON m.log_id = b.log_id AND m.seq = b.seq
+        LEFT JOIN roster r ON r.log_id = b.log_id AND r.addr = coalesce(m.master, b.dst_agent)
+        WHERE remove_all AND boon AND s_rep IS NOT NULL AND coalesce(r.rep, m.master, b.dst_agent) <> s_rep AND EXISTS (SELECT 1 FROM agents a WHERE a.log_id = b.log_id AND a.addr = coalesce(m.master, b.dst_agent)) GROUP BY 1, 2"""),
     "down_windows": (_windows, """
         SELECT log_id, target, side, time AS t_down, seq AS down_seq, greatest(coalesce(anchor, t0) - 2000, t0, coalesce(lag(time) OVER (PARTITION BY log_id, target ORDER BY time, seq) + 2100, 0)) AS lo FROM (
           SELECT b.log_id, dst_agent AS target, CASE WHEN de_rep IS NULL THEN 'squad' ELSE 'enemy' END AS side, b.time, b.seq, h.time AS anchor
@@ -132,8 +148,9 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
             ON h.log_id = b.log_id AND h.src_agent = b.dst_agent AND b.time >= h.time
           WHERE is_statechange = 0 AND result = 9 AND (de_rep IS NOT NULL OR d_rep IS NOT NULL)) JOIN bounds USING (log_id)"""),
     "down_contribution": (support.down_contribution, """
-        , downs AS (SELECT log_id, target, de_rep, t_down, seq, greatest(t0 - 2000, t0, coalesce(lag(t_down) OVER (PARTITION BY log_id, target ORDER BY t_down, seq) + 2100, 0)) AS lo FROM (
-          SELECT b.log_id, dst_agent AS target, de_rep, time AS t_down, seq FROM base b WHERE is_statechange = 0 AND result = 9 AND de_rep IS NOT NULL) JOIN bounds USING (log_id))
+        , downs AS (SELECT log_id, target, de_rep, t_down, seq, greatest(coalesce(anchor, t0) - 2000, t0, coalesce(lag(t_down) OVER (PARTITION BY log_id, target ORDER BY t_down, seq) + 2100, 0)) AS lo FROM (
+          SELECT b.log_id, dst_agent AS target, de_rep, b.time AS t_down, seq, h.time AS anchor FROM base b ASOF LEFT JOIN (SELECT DISTINCT log_id, src_agent, time FROM combat WHERE is_statechange = 8 AND dst_agent BETWEEN 9900 AND 20000) h
+            ON h.log_id = b.log_id AND h.src_agent = b.dst_agent AND b.time >= h.time WHERE is_statechange = 0 AND result = 9 AND de_rep IS NOT NULL) JOIN bounds USING (log_id))
         SELECT * FROM (SELECT b.log_id, credit AS rep, d.de_rep AS target, CAST(sum(CASE WHEN cc THEN 0 ELSE dmg END) AS BIGINT) AS damage, count(*) FILTER (cc) AS cc_count, CAST(coalesce(sum(pos) FILTER (cc), 0) AS BIGINT) AS cc_ms, count(DISTINCT d.seq) AS downs
           FROM base b JOIN downs d ON d.log_id = b.log_id AND d.target = b.dst_agent AND b.time BETWEEN d.lo AND d.t_down WHERE ((row_ok AND health) OR cc) AND credit IS NOT NULL GROUP BY 1, 2, 3) WHERE damage > 0 OR cc_count > 0"""),
     "focus": (support.focus, """
@@ -151,13 +168,22 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
             FROM (SELECT *, max(CASE WHEN is_statechange = 57 THEN src_agent END) OVER (PARTITION BY log_id, pad, shot) AS creator FROM (
               SELECT *, sum(CASE WHEN is_statechange = 57 THEN 1 ELSE 0 END) OVER (PARTITION BY log_id, pad ORDER BY seq) AS shot FROM combat WHERE is_statechange IN (57, 58, 59)))
             WHERE shot > 0 GROUP BY 1, 2, 3) c JOIN squad s ON s.log_id = c.log_id AND s.addr = c.src_agent) GROUP BY 1, 2"""),
-    "healing": (support.healing, """
-        SELECT log_id, s_rep AS rep, CAST(coalesce(sum(a) FILTER (NOT barrier), 0) AS BIGINT) AS healing, CAST(coalesce(sum(a) FILTER (NOT barrier AND d_rep = s_rep), 0) AS BIGINT) AS healing_self,
-          CAST(coalesce(sum(a) FILTER (NOT barrier AND d_rep <> s_rep), 0) AS BIGINT) AS healing_allies, CAST(coalesce(sum(a) FILTER (barrier), 0) AS BIGINT) AS barrier,
-          CAST(coalesce(sum(a) FILTER (NOT barrier AND is_offcycle & 32 <> 0), 0) AS BIGINT) AS healing_downed
-        FROM (SELECT *, bool_or(peer) OVER (PARTITION BY log_id, src_agent, barrier) AS any_peer FROM (
-          SELECT *, -CASE WHEN value < 0 THEN value ELSE buff_dmg END AS a, is_shields > 0 AS barrier, is_offcycle & 64 <> 0 OR is_offcycle & 192 = 0 AS peer
-          FROM base WHERE is_statechange = 49 AND (value < 0 OR (value = 0 AND buff_dmg < 0)) AND s_rep IS NOT NULL)) WHERE peer OR NOT any_peer GROUP BY 1, 2"""),
+    "healing": (support.healing, _HEAL + """
+        SELECT log_id, rep, CAST(coalesce(sum(a) FILTER (NOT barrier), 0) AS BIGINT) AS healing, CAST(coalesce(sum(a) FILTER (NOT barrier AND target = rep), 0) AS BIGINT) AS healing_self,
+          CAST(coalesce(sum(a) FILTER (NOT barrier AND target <> rep), 0) AS BIGINT) AS healing_allies, CAST(coalesce(sum(a) FILTER (barrier), 0) AS BIGINT) AS barrier,
+          CAST(coalesce(sum(a) FILTER (NOT barrier AND down), 0) AS BIGINT) AS healing_downed FROM heal GROUP BY 1, 2"""),
+    "healing_by_ally": (support.healing_by_ally, _HEAL + """
+        SELECT log_id, rep, target, CAST(coalesce(sum(a) FILTER (NOT barrier), 0) AS BIGINT) AS healing, CAST(coalesce(sum(a) FILTER (NOT barrier AND down), 0) AS BIGINT) AS healing_downed,
+          CAST(coalesce(sum(a) FILTER (barrier), 0) AS BIGINT) AS barrier FROM heal GROUP BY 1, 2, 3"""),
+    "healing_by_skill": (support.healing_by_skill, _HEAL + """
+        SELECT log_id, rep, skillid, barrier, count(*) AS hits, CAST(sum(a) AS BIGINT) AS total, CAST(min(a) AS BIGINT) AS min, CAST(max(a) AS BIGINT) AS max, bool_or(NOT direct) AS indirect FROM heal GROUP BY 1, 2, 3, 4"""),
+    "cumulative_healing": (support.cumulative_healing, _HEAL + """
+        SELECT log_id, rep, bucket, CAST(sum(h) OVER w AS BIGINT) AS healing, CAST(sum(b) OVER w AS BIGINT) AS barrier FROM (
+          SELECT log_id, rep, (time - t0) // 1000 + CASE WHEN (time - t0) % 1000 <> 0 THEN 1 ELSE 0 END AS bucket, sum(CASE WHEN barrier THEN 0 ELSE a END) AS h, sum(CASE WHEN barrier THEN a ELSE 0 END) AS b FROM heal JOIN bounds USING (log_id) GROUP BY 1, 2, 3)
+        WINDOW w AS (PARTITION BY log_id, rep ORDER BY bucket)"""),
+    "running_healing_extension": (support.running_healing_extension, _HEAL + """
+        , seen AS (SELECT g.log_id, healer AS addr FROM g WHERE peer UNION SELECT g.log_id, target FROM g JOIN combat c ON c.log_id = g.log_id AND c.seq = g.seq WHERE c.is_offcycle & 64 <> 0)
+        SELECT seen.log_id, seen.addr FROM seen SEMI JOIN squad ON squad.log_id = seen.log_id AND squad.addr = seen.addr"""),
     "squad_timeline": (lambda f: series.squad_timeline(f, 100000), """
         , what AS (SELECT log_id, time, 'd' AS w, dmg AS n FROM out_hits UNION ALL SELECT log_id, time, 'c', 1 FROM base WHERE cc AND s_rep IS NOT NULL AND de_rep IS NOT NULL
           UNION ALL SELECT log_id, time, 'w', 1 FROM base WHERE is_statechange = 0 AND result = 9 AND s_rep IS NOT NULL AND de_rep IS NOT NULL UNION ALL SELECT log_id, time, 's', 1 FROM base WHERE remove_all AND boon AND d_rep IS NOT NULL AND se_rep IS NOT NULL),
@@ -198,7 +224,7 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "buff_generation": (generation.generation, None),
     "damage_modifiers": (modifiers.damage_modifiers, None),
     "instant_casts": (instants.instant_casts, None),
-    "first_instid": (entities.first_instid, "SELECT log_id, addr, arg_min(instid, (time, instid)) AS instid FROM (SELECT log_id, time, src_instid AS instid, src_agent AS addr FROM combat WHERE src_instid <> 0 AND src_agent <> 0 AND is_statechange NOT IN (40, 49)) GROUP BY 1, 2"),
+    "first_instid": (entities.first_instid, "SELECT log_id, addr, arg_min(instid, (time, instid)) AS instid FROM (SELECT log_id, time, src_instid AS instid, src_agent AS addr FROM combat WHERE src_instid <> 0 AND src_agent <> 0 AND is_statechange NOT IN (40, 49) UNION ALL SELECT log_id, time, dst_instid, dst_agent FROM combat WHERE dst_instid <> 0 AND dst_agent <> 0 AND is_statechange NOT IN (40, 49)) GROUP BY 1, 2"),
     "participants": (entities.participants, "SELECT DISTINCT log_id, src_agent AS addr FROM base WHERE is_statechange = 1 OR CASE WHEN post_era THEN is_statechange = 67 ELSE is_statechange = 0 AND is_activation IN (1, 2) END OR (row_ok AND (value > 0 OR buff_dmg > 0))"),
     "entities": (report.entities, """
         SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY CASE WHEN side = 'squad' THEN 0 ELSE 1 END, team, subgroup, rep) - 1 AS INT) AS entity, rep, side, team, subgroup

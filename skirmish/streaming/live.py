@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import count_if, damage, is_combat_row, is_crowd_control, is_health_damage
+from ..plans.joins import small
 from ..schema import Result
 
 
@@ -17,7 +18,7 @@ def live_damage(stream: DataFrame, roster: DataFrame, every: str = "10 seconds",
     squad = roster.filter("side = 'squad'").select("log_id", F.col("addr").alias("src_agent"), "rep")
     enemy = roster.filter("side = 'enemy'").select("log_id", F.col("addr").alias("dst_agent"))
     rows = stream.withWatermark("ts", late).filter(is_combat_row() & is_health_damage()).withColumn("dmg", damage()).filter("dmg > 0")
-    rows = rows.join(F.broadcast(squad), ["log_id", "src_agent"]).join(F.broadcast(enemy), ["log_id", "dst_agent"], "left_semi")
+    rows = rows.join(small(squad), ["log_id", "src_agent"]).join(small(enemy), ["log_id", "dst_agent"], "left_semi")
     return rows.groupBy(F.window("ts", every), "log_id", "rep").agg(F.sum("dmg").alias("damage"), F.count("*").alias("hits"))
 
 

@@ -65,11 +65,25 @@ def test_missile_ids_are_used_again(spark):
     assert rows(support.missiles(f), "rep", "fired", "hit", "denied", "reflected") == [(SQUAD, 3, 1, 1, 1)]
 
 
-def test_peer_rows_replace_own_copies(spark):
-    heal = lambda t, off, v: mark(t, State.EXTENSION_COMBAT, dst_agent=MATE, value=-v, is_offcycle=off)
-    f = fight(spark, [heal(0, 64, 10), heal(1, 128, 100), heal(2, 96, 5)])
-    r = support.healing(f).first()
-    assert (r.healing, r.healing_allies, r.healing_downed) == (15, 15, 5)
+def test_healing_by_peers_pets_and_downed(spark):
+    sign = support.HEALING_SIGNATURE
+    row = lambda t, off, v, **m: mark(t, State.EXTENSION_COMBAT, src=0, pad=sign, src_instid=1, dst_instid=2, is_offcycle=off) | {"value": -v} | m
+    known = [hit(0, src=SQUAD, src_instid=1), hit(0, src=MATE, src_instid=2), hit(0, src=PET, src_instid=9, iff=0)]
+    told = mark(0, State.EXTENSION, src=sign + (1 << 32))
+    rows_ = [
+        row(1, 64, 10), row(2, 128, 100), row(3, 128 + 32, 5), row(4, 129, 7), row(5, 128, 50, pad=77), row(6, 128, 50, iff=1), row(7, 128, 0, buff=1, buff_dmg=-3),
+        row(8, 128, 20, is_shields=1), row(9, 0, 11, src_instid=9, src_master_instid=1), row(10, 128, 40, dst_instid=99), row(11, 128, 2, dst_instid=1),
+    ]
+    r = support.healing(fight(spark, [*known, told, *rows_])).first()
+    assert (r.rep, r.healing, r.healing_self, r.healing_allies, r.barrier, r.healing_downed) == (SQUAD, 128, 2, 126, 20, 12)
+    assert support.healing(fight(spark, [*known, *rows_])).count() == 0
+    assert support.healing(fight(spark, [*known, mark(0, State.EXTENSION, src=sign + (3 << 32)), *rows_])).count() == 0
+
+
+def test_strips_taken_go_to_the_remover_s_master(spark):
+    off = lambda dst, **m: mark(1, State.BUFF_REMOVE_ALL, src=SQUAD, dst_agent=dst, skillid=740, value=10, **m)
+    f = fight(spark, [hit(0, src=MATE, src_instid=5), hit(0, src=PET), off(FOE), off(SQUAD), off(PET), off(PET, dst_master_instid=5), off(4242), off(SQUAD, dst_master_instid=5)])
+    assert rows(support.strips_taken(f), "rep", "strips_taken", "stripped_ms") == [(SQUAD, 4, 40)]
 
 
 def test_series_ceil_and_floor_buckets(spark):
