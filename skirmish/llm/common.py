@@ -56,6 +56,7 @@ def map_texts(
     df: DataFrame,
     fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
+    /,
     **columns: str | Column,
 ) -> DataFrame:
     """``mapInArrow`` over the named columns only: name in the batch -> column of the input."""

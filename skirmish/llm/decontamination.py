@@ -1,12 +1,13 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
-Every shard of training texts (a run of whole documents) gets a suffix array over its words; every
-test suffix is searched in it by bisection, which gives all places where it stands verbatim.  A
-suffix can only match from its first word on, so suffixes whose first words begin no test window, or
-that end before the shortest window does, are left out of the array: no place is lost.
+Every shard of training texts (a run of whole documents) gets a suffix array over all its words: ranks of
+the first 2, 4, 8, ... words come from doubling, and two overlapping ranks order the suffixes by as many
+words as a window has.  Every test suffix of a window or more is searched in it by bisection, which gives
+all places where its first words stand verbatim; places that follow each other in text and item are joined
+into the longest matches.  Items shorter than a window are searched by what they have, in the same order.
 
 The test set is what travels.  It goes out in blocks of a checked size, one pass over the texts for
-each block, and what a pass finds rides along with the rows, so nothing is shuffled.
+each block; what a pass finds is stored with the rows before the next block goes out.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import map_texts, raw_texts, shards
+from .common import cut, map_texts, named, raw_texts, shards
 
 #: Words of a window, and bytes of test texts that go to the workers at once.
 WINDOW = 10
@@ -39,7 +41,8 @@ def words(text: bytes) -> list[bytes]:
 
 
 class TestSet:
-    """The windows of a block of test items, sorted, with the items and places they come from."""
+    """The words of a block of test items as numbers, and the places that are searched for: the suffixes of
+    at least ``window`` words, and items that are shorter as a whole."""
 
     __test__ = False
 
@@ -47,64 +50,32 @@ class TestSet:
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.names: list[str] = []
-        spots: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        ids, spots = [], []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                spots.setdefault(tuple(ids[i : i + window]), []).append((len(self.names), i))
+            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            length = min(window, len(own))
+            spots += [(len(self.names), i, len(ids) + i, length) for i in range(len(own) - length + 1 if own else 0)]
+            ids += [*own, 0]
             self.names.append(name)
-        size = len(self.vocabulary) + 1
-        self.digits = 1
-        while 255**self.digits <= size:
-            self.digits += 1
-        n = np.arange(size)
-        self.code = np.stack([n // 255**k % 255 + 1 for k in reversed(range(self.digits))], 1).astype(np.uint8)
-        self.code[0] = 0  # not a word of the test set: sorts before all others
-        self.kind = f"S{self.digits * window}"
-        windows = list(spots)
-        padded = np.zeros((len(windows), window), np.int64)
-        self.length = np.array([len(w) for w in windows], np.int64)
-        for k, w in enumerate(windows):
-            padded[k, : len(w)] = w
-        low = self.code[padded]
-        high = low.copy()
-        high[np.arange(window) >= self.length[:, None]] = 255
-        self.low, self.high = (self._keys(x) for x in (low, high))
-        flat = [s for w in windows for s in spots[w]]
-        self.first = np.concatenate([[0], np.cumsum([len(spots[w]) for w in windows], dtype=np.int64)])
-        self.item, self.place = (np.array([s[k] for s in flat], np.int64) for k in (0, 1))
-        self.shortest = int(self.length.min(initial=window))
-        self.begins = np.zeros(size, bool)
-        self.begins[padded[:, 0]] = len(windows) > 0
-        self.pairs = np.unique(padded[:, 0] * size + padded[:, 1]) if self.shortest > 1 else None
-
-    def _keys(self, codes: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(codes).reshape(len(codes), self.digits * self.window).view(self.kind).ravel()
+        self.ids = np.array(ids, np.int64)
+        self.item, self.place, self.at, self.length = np.array(spots, np.int64).reshape(-1, 4).T
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and their places in a shard's word numbers (0: not a word of the test set)."""
-        nothing = np.zeros(0, np.int64)
-        if not len(self.low) or not len(ids):
-            return nothing, nothing
-        stop = np.where(ids == 0, np.arange(len(ids)), len(ids))
-        stop = np.minimum.accumulate(stop[::-1])[::-1]
-        run = stop - np.arange(len(ids))
-        at = np.flatnonzero(self.begins[ids] & (run >= self.shortest))
-        if self.pairs is not None and len(at):
-            pair = ids[at].astype(np.int64) * len(self.code) + ids[at + 1]
-            k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            at = at[self.pairs[k] == pair]
-        if not len(at):
-            return nothing, nothing
-        steps = np.arange(self.window)
-        inside = steps < run[at][:, None]
-        suffixes = self._keys(self.code[np.where(inside, ids[np.minimum(at[:, None] + steps, len(ids) - 1)], 0)])
-        order = np.argsort(suffixes, kind="stable")
-        suffixes, array = suffixes[order], at[order]
-        a, b = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
-        n = b - a
-        which = np.repeat(np.arange(len(n)), n)
-        return which, array[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        """Searched places and where in a shard's word numbers (0: not a word of the test set) they stand."""
+        if not len(self.at) or not len(ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys = _Prefixes(ids, self.ids, len(self.vocabulary))
+        array = np.argsort(keys.of(self.window)[: len(ids)], kind="stable")
+        which, places = [], []
+        for length in np.unique(self.length).tolist():
+            key = keys.of(length)
+            mine = np.flatnonzero(self.length == length)
+            wanted, ordered = key[len(ids) :][self.at[mine]], key[: len(ids)][array]
+            a, b = np.searchsorted(ordered, wanted, "left"), np.searchsorted(ordered, wanted, "right")
+            n = b - a
+            which.append(np.repeat(mine, n))
+            places.append(array[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return np.concatenate(which), np.concatenate(places)
 
     def matches(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[str, int, int, int]]]]:
         """For each text its number of words and its longest matches: (item, first word in the
@@ -114,17 +85,14 @@ class TestSet:
         for t in texts:
             w = words(t)
             counts.append(len(w))
-            ids.append(np.fromiter(map(get, w, repeat(0)), np.int32, len(w)))
-            ids.append(np.zeros(1, np.int32))
-        which, at = self.search(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            ids.append(np.fromiter(map(get, w, repeat(0)), np.int64, len(w)))
+            ids.append(np.zeros(1, np.int64))
+        which, at = self.search(np.concatenate(ids) if ids else np.zeros(0, np.int64))
         found: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]
         if len(at):
             starts = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
-            n = self.first[which + 1] - self.first[which]
-            spot = np.repeat(self.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at, length = np.repeat(at, n), np.repeat(self.length[which], n)
             doc = np.searchsorted(starts, at, "right") - 1
-            item, place, at = self.item[spot], self.place[spot], at - starts[doc]
+            item, place, length, at = self.item[which], self.place[which], self.length[which], at - starts[doc]
             order = np.lexsort((at, at - place, item, doc))
             doc, item, place, at, length = (x[order] for x in (doc, item, place, at, length))
             new = np.ones(len(at), bool)
@@ -137,6 +105,54 @@ class TestSet:
         return counts, found
 
 
+class _Prefixes:
+    """Numbers by which the suffixes of a shard and of the test items (one behind the other) are ordered by
+    their first words, and that are equal only where these are.  Words that no test has are all 0, as is what
+    ends a text or an item; no searched place reaches one."""
+
+    def __init__(self, ids: np.ndarray, tests: np.ndarray, words: int):
+        """``words``: the largest number of a word.  As many words as fit are put side by side in one number."""
+        both = np.concatenate([ids, tests]).astype(np.int64)
+        bits = max(1, int(words).bit_length())
+        self.ranks = {1: both}
+        size = 1
+        while 2 * size * bits <= 62:
+            moved = np.zeros_like(both)
+            moved[:-size] = both[size:]
+            both = both << size * bits | moved
+            size *= 2
+            self.ranks[size] = both
+        self.dense: dict[int, np.ndarray] = {}
+
+    def _pair(self, a: np.ndarray, b: np.ndarray, ahead: int) -> np.ndarray:
+        """Numbers of the pairs (a here, b some words ahead); past the end 0."""
+        moved = np.zeros(len(b), np.int64)
+        moved[: len(b) - ahead] = b[ahead:]
+        return a * (int(moved.max(initial=0)) + 1) + moved
+
+    def _rank(self, size: int) -> np.ndarray:
+        """Ranks by the first words, their number a power of two."""
+        if size not in self.ranks:
+            half = self._dense(size // 2)
+            self.ranks[size] = self._pair(half, half, size // 2)
+        return self.ranks[size]
+
+    def _dense(self, size: int) -> np.ndarray:
+        """The same without gaps, so that two fit into one number."""
+        if size not in self.dense:
+            key = self._rank(size)
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+            rank = np.empty(len(key), np.int64)
+            rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+            self.dense[size] = rank
+        return self.dense[size]
+
+    def of(self, length: int) -> np.ndarray:
+        size = 1 << length.bit_length() - 1
+        return self._rank(size) if size == length else self._pair(self._dense(size), self._dense(size), length - size)
+
+
 def _covered(spans: Iterable[tuple[int, int]]) -> int:
     total = end = 0
     for a, b in sorted(spans):
@@ -161,10 +177,12 @@ def contamination(
     repeated ids: doc_id, n_words, n_hit (words inside any match), item_ids (distinct, sorted as
     strings) and matches (item_id, doc_start, item_start, n_words: the longest runs, in words from
     0).  Null and empty texts have no words and no hit; a null item id is the empty string; an empty
-    test set hits nothing.  The test set is read in blocks of about ``block_bytes`` so that what
-    goes to the workers is bounded whatever its size.
+    test set hits nothing, an empty table of documents gives no rows.  Texts are read whole: memory holds the
+    suffix array of a shard, or of one text that is longer.  Columns may have any names.  The test set is
+    read in blocks of about ``block_bytes``, one after the other, so that what goes to the workers is
+    bounded whatever its size.
     """
-    found = _scan(docs, benchmark, [docs[id_col].alias("doc_id")], text_col, item_col, item_text_col, window, block_bytes)
+    found = _scan(docs, benchmark, [named(docs, id_col).alias("doc_id")], text_col, item_col, item_text_col, window, block_bytes)
     return found.select("_kept.doc_id", "n_words", "n_hit", "item_ids", F.col("_found").alias("matches"))
 
 
@@ -178,30 +196,35 @@ def decontaminated(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The documents in which no window of a test item stands, with all their columns."""
-    found = _scan(docs, benchmark, [docs[c] for c in docs.columns], text_col, item_col, item_text_col, window, block_bytes)
+    found = _scan(docs, benchmark, [named(docs, c) for c in docs.columns], text_col, item_col, item_text_col, window, block_bytes)
     return found.filter("n_hit = 0").select("_kept.*")
 
 
 def _scan(docs, benchmark, kept, text_col, item_col, item_text_col, window, block_bytes) -> DataFrame:
     spark = docs.sparkSession
     tests = benchmark.select(
-        F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item_id"),
-        F.coalesce(benchmark[item_text_col], F.lit("")).cast("binary").alias("text"),
+        F.coalesce(named(benchmark, item_col).cast("string"), F.lit("")).alias("item_id"),
+        F.coalesce(named(benchmark, item_text_col), F.lit("")).cast("binary").alias("text"),
     )
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    found = "_found array<struct<item_id:string,doc_start:bigint,item_start:bigint,n_words:bigint>>"
+    match = StructType([StructField("item_id", StringType()), *(StructField(c, LongType()) for c in ("doc_start", "item_start", "n_words"))])
+    found = StructField("_found", ArrayType(match))
     state = docs.select(
-        F.struct(*kept).alias("_kept"), docs[text_col].alias("_text"), F.lit(None).cast(found[7:]).alias("_found")
+        F.struct(*kept).alias("_kept"), named(docs, text_col).alias("_text"), F.lit(None).cast(found.dataType).alias("_found")
     )
-    carried = f"_kept {state.schema['_kept'].dataType.simpleString()}"
+    carried = state.schema["_kept"]
     for k in range(blocks):
         mine = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in mine.collect()])
         last = k == blocks - 1
-        more = "n_words bigint, n_hit bigint, item_ids array<string>" if last else "_text string"
+        counts = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("item_ids", ArrayType(StringType()))]
+        more = counts if last else [StructField("_text", StringType())]
         columns = {c: c for c in ("_text", "_kept", "_found")}
-        state = map_texts(state, _pass(sent, window, last), f"{carried}, {more}, {found}", **columns)
+        state = map_texts(state, _pass(sent, window, last), StructType([carried, *more, found]), **columns)
+        if not last:
+            state = cut(state)
+            sent.destroy()
     return state
 
 

@@ -5,8 +5,11 @@ ANDed, give in one look-up all languages that contain the n-gram.  A text's n-gr
 once; for each language the set bits are counted, and the share of hits is corrected by the filter's
 false-positive rate for that language.
 
-A language contains the n-grams that make up at least ``least_share`` of its training n-grams, so a
-language has at most 1 / least_share of them and the filter's size is bounded whatever the corpus.
+A language contains every n-gram of its training texts, however rare, but for those that another language
+uses ``FOREIGN`` times as often: quotations and wrongly labelled texts bring a few of every language's
+n-grams into every other, the more the larger the corpus.  The filter's size follows the counted n-grams up
+to ``MOST_FILTER_BYTES``; beyond, it gets denser, which its false-positive rate tells and the correction
+takes into account.  It is built by the executors, slot by slot; only its finished blocks reach the driver.
 """
 
 from __future__ import annotations
@@ -16,14 +19,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, raw_texts, shards
+from .common import cut, drop, map_texts, named, raw_texts, shards
 
 NGRAM = 4  # bytes
-LEAST_SHARE = 1e-5
+FOREIGN = 50
 SLOTS_BITS = 20
+#: Bits of slots at least, slots in a block, and bytes of all masks at most.
+LEAST_BITS, BLOCK, MOST_FILTER_BYTES = 16, 1 << 16, 256 << 20
 HASHES = 2
 UNKNOWN = "und"
 
@@ -55,8 +60,8 @@ def _blank(g: np.ndarray) -> np.ndarray:
     return g == np.uint32(0x20202020)
 
 
-def slots(g: np.ndarray, k: int) -> np.ndarray:
-    return (g * np.uint32(_MULTIPLIERS[k]) ^ g >> np.uint32(15)) * np.uint32(0x2545F491) >> np.uint32(32 - SLOTS_BITS)
+def slots(g: np.ndarray, k: int, bits: int = SLOTS_BITS) -> np.ndarray:
+    return (g * np.uint32(_MULTIPLIERS[k]) ^ g >> np.uint32(15)) * np.uint32(0x2545F491) >> np.uint32(32 - bits)
 
 
 def has_letter(text: bytes) -> bool:
@@ -66,17 +71,28 @@ def has_letter(text: bytes) -> bool:
 class BloomModel:
     """languages, and for each slot a mask in words of 8 languages (the bit slices)."""
 
-    def __init__(self, languages: list[str], contained: Iterable[tuple[str, np.ndarray]]):
-        self.languages = languages
+    def __init__(self, languages: list[str], contained: Iterable[tuple[str, np.ndarray]], bits: int = SLOTS_BITS):
+        self.languages, self.bits = languages, bits
         number = {name: k for k, name in enumerate(languages)}
-        self.masks = np.zeros((max(1, -(-len(languages) // 8)), 1 << SLOTS_BITS), np.uint8)
+        self.masks = np.zeros((max(1, -(-len(languages) // 8)), 1 << bits), np.uint8)
         for name, g in contained:
             word, bit = divmod(number[name], 8)
             for k in range(HASHES):
-                s = slots(g.astype(np.uint32), k)
+                s = slots(g.astype(np.uint32), k, bits)
                 self.masks[word, s] |= np.uint8(1 << bit)
-        set_bits = [np.count_nonzero(self.masks[k // 8] >> (k % 8) & 1) for k in range(len(languages))]
-        self.false_positive = (np.array(set_bits, float) / (1 << SLOTS_BITS)) ** HASHES
+        self._measure()
+
+    def _measure(self) -> None:
+        set_bits = [np.count_nonzero(self.masks[k // 8] >> (k % 8) & 1) for k in range(len(self.languages))]
+        self.false_positive = (np.array(set_bits, float) / (1 << self.bits)) ** HASHES
+
+    def fill(self, blocks: Iterable[tuple[int, int, bytes]]) -> BloomModel:
+        """Set whole blocks of masks: (word, block, its bytes)."""
+        for word, block, raw in blocks:
+            own = np.frombuffer(raw, np.uint8)
+            self.masks[word, block * BLOCK : block * BLOCK + len(own)] = own
+        self._measure()
+        return self
 
     def shares(self, texts: list[bytes]) -> np.ndarray:
         """For each text and language the corrected share of n-grams that the language contains."""
@@ -85,7 +101,7 @@ class BloomModel:
         g, first = grams(texts)
         real = ~_blank(g)
         total = np.maximum(np.add.reduceat(real, first[:-1], dtype=np.int64), 1)
-        places = [slots(g, k) for k in range(HASHES)]
+        places = [slots(g, k, self.bits) for k in range(HASHES)]
         out = np.empty((len(texts), len(self.languages)))
         for word, masks in enumerate(self.masks):
             both = masks[places[0]]
@@ -142,21 +158,57 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_share: float = LEAST_SHARE) -> BloomModel:
-    """Count n-grams by language over all the given documents with a text and a language, and keep
-    for each language those of at least ``least_share`` of its n-grams.  What comes to the driver is
-    at most 1 / least_share n-grams a language.  No documents: a model without languages."""
-    rows = docs.filter(docs[text_col].isNotNull() & docs[lang_col].isNotNull())
-    counts = map_texts(rows, _count, "lang string, gram bigint, n bigint", text=text_col, lang=F.col(lang_col).cast("string"))
+def filter_bits(most: int, languages: int) -> int:
+    """Bits of the slots: eight slots for each n-gram of the language with the most, within the bound."""
+    bits = max(LEAST_BITS, (8 * max(most, 1) - 1).bit_length())
+    while bits > LEAST_BITS and (1 << bits) * -(-languages // 8) > MOST_FILTER_BYTES:
+        bits -= 1
+    return min(bits, 31)
+
+
+def _set_bits(bits: int):
+    """(word, slot, mask) of each n-gram of a numbered language."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, g = b.column("number").to_numpy(), b.column("gram").to_numpy().astype(np.uint32)
+            slot = np.concatenate([slots(g, k, bits) for k in range(HASHES)]).astype(np.int64)
+            columns = [np.tile(number // 8, HASHES), slot, np.tile(1 << number % 8, HASHES)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "slot", "mask"])
+
+    return run
+
+
+def _block(key: tuple, t: pa.Table) -> pa.Table:
+    out = np.zeros(BLOCK, np.uint8)
+    out[t.column("slot").to_numpy() % BLOCK] = t.column("mask").to_numpy()
+    return pa.table({"word": [key[0].as_py()], "block": [key[1].as_py()], "raw": pa.array([out.tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", foreign: float = FOREIGN) -> BloomModel:
+    """Count n-grams by language over all the given documents with a text and a language.  The driver gets the
+    languages' names and the finished filter.  No documents: a model without languages."""
+    spark = docs.sparkSession
+    text, lang = named(docs, text_col), named(docs, lang_col)
+    rows = docs.filter(text.isNotNull() & lang.isNotNull())
+    counts = map_texts(rows, _count, "lang string, gram bigint, n bigint", text=text, lang=lang.cast("string"))
     counts = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     total = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(total)
-    enough: Column = F.lit(False)
-    for name in languages:
-        enough |= (F.col("lang") == name) & (F.col("n") >= total[name] * least_share)
-    kept = counts.filter(enough).select("lang", "gram").toArrow()
-    lang, gram = kept.column("lang").to_pandas(), kept.column("gram").to_numpy().astype(np.uint32)
-    return BloomModel(languages, ((name, gram[(lang == name).to_numpy()]) for name in languages))
+    if not languages:
+        drop(counts)
+        return BloomModel([], (), LEAST_BITS)
+    numbers = spark.createDataFrame([(x, k, float(total[x])) for k, x in enumerate(languages)], "lang string, number bigint, total double")
+    shared = counts.join(numbers, "lang").withColumn("share", F.col("n") / F.col("total"))
+    own = shared.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") * foreign >= F.col("most"))
+    kept = cut(own.select("number", "gram"))
+    most = kept.groupBy("number").count().agg(F.max("count")).first()[0]
+    model = BloomModel(languages, (), filter_bits(most, len(languages)))
+    masks = kept.mapInArrow(_set_bits(model.bits), "word bigint, slot bigint, mask bigint").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    blocks = masks.groupBy("word", F.expr(f"slot div {BLOCK}").alias("block")).applyInArrow(_block, "word bigint, block bigint, raw binary")
+    model.fill((r.word, r.block, bytes(r.raw)) for r in blocks.toLocalIterator())
+    drop(counts, kept)
+    return model
 
 
 def identify(docs: DataFrame, model: BloomModel, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
@@ -164,8 +216,9 @@ def identify(docs: DataFrame, model: BloomModel, id_col: str = "doc_id", text_co
     the corrected share of the text's n-grams that the language contains).
 
     ``und`` with score 0 where the text is null, empty or without a letter, or if the model knows no
-    language.  Ties go to the first language by name.  No shuffle; the model is broadcast, its size
-    is fixed by the number of languages.
+    language.  Ties go to the first language by name.  Repeated rows are judged alike; texts are read whole,
+    of any length, an empty table gives no rows, and other columns, whatever their names, are not looked at.
+    No shuffle; the model is broadcast, its size is bounded by ``MOST_FILTER_BYTES``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -189,7 +242,8 @@ def identify(docs: DataFrame, model: BloomModel, id_col: str = "doc_id", text_co
 
 
 def keep_identified(docs: DataFrame, model: BloomModel, least_score: float, text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, whose text has a language with at least this score."""
+    """The documents, with all their columns as they are, whose text has a language with at least this score;
+    null and empty texts have none.  Repeated rows stay or go alike."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

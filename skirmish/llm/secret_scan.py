@@ -9,8 +9,11 @@ they reject are ordered data, not secrets.
 
 Passing is weak evidence if the token is short, so a second p-value asks how likely text in a
 language would look as uniform at this length: the chi-squared statistic under the noncentral law
-that a language's uneven letters give.  Benjamini-Hochberg over a text's tokens on these p-values
-holds the share of false discoveries at ``rate``, at every length alike.
+that a language's uneven letters give.  Benjamini-Hochberg over the tokens of all texts on these p-values
+holds the share of false discoveries in the corpus at ``rate``, at every length alike.  For that a first
+pass counts the tokens by level, the p-value's place on a fixed logarithmic grid, rounded towards 1, so
+that the number of counts is fixed; the second pass reports the tokens from the level on that the counts
+allow.
 """
 
 from __future__ import annotations
@@ -18,16 +21,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from math import erfc, exp, factorial, log, sqrt
+from bisect import bisect_left
+from math import ceil, erfc, exp, factorial, log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 RATE = 0.01
+#: Levels of p-values: GRID a halving, TOP at most.
+GRID, TOP = 16, 1 << 14
 #: A token whose combined p-value of randomness is below this is not random.
 LEAST_RANDOM = 1e-3
 #: Probability that two letters of a text in a language are equal, from below.
@@ -76,6 +83,12 @@ _FITTING = [re.compile(x) for x in ("[A-Za-z0-9+/]+", "[A-Za-z0-9_-]+", "[A-Za-z
 _PART = re.compile("[^=]+(?:=+$)?")
 
 
+def _meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether any of the sorted, disjoint spans overlaps start to end."""
+    k = bisect_left(spans, (end, end))
+    return k > 0 and spans[k - 1][1] > start
+
+
 def tokens_of(run: str) -> list[tuple[int, int, str]]:
     """(start, end, encoding) of the parts of a run that are long enough to be tested."""
     out = []
@@ -90,8 +103,8 @@ def tokens_of(run: str) -> list[tuple[int, int, str]]:
         spans = sorted({x.span() for f in _FITTING for x in f.finditer(body)}, key=lambda x: (x[0] - x[1], x[0]))
         taken: list[tuple[int, int]] = []
         for s, e in spans:
-            if e - s >= 20 and all(e <= x or y <= s for x, y in taken):
-                taken.append((s, e))
+            if e - s >= 20 and not _meets(taken, s, e):
+                taken.insert(bisect_left(taken, (s, e)), (s, e))
                 end = len(part) if e == len(body) else e
                 out.append((a + s, a + end, encoding_of(body[s:e])))
     return sorted((a, b, k) for a, b, k in out if len(run[a:b].rstrip("=")) >= 20)
@@ -148,27 +161,69 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def random_spans(text: str, taken: list[tuple[int, int, int]], rate: float = RATE) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the tokens outside ``taken`` that the battery takes for random."""
-    tested = []
-    taken = sorted(taken)
+def level_of(p: float) -> int:
+    """The level of a p-value; the larger the level, the smaller p.  Never beyond p."""
+    return TOP if p <= 0 else min(TOP, int(-log2(p) * GRID))
+
+
+def tested(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+    """(start, end, level, p-value of randomness) of the tokens outside ``taken`` that the battery tests."""
+    out, joined = [], []
+    for a, _, b in sorted(taken):
+        if joined and a < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
     for m in _TOKEN.finditer(text):
         for x, y, kind in tokens_of(m.group()):
             a, b = m.start() + x, m.start() + y
             token = text[a:b]
-            if kind == "decimal" or _UUID.fullmatch(token) or any(s < b and a < e for s, _, e in taken):
+            if kind == "decimal" or _UUID.fullmatch(token) or _meets(joined, a, b):
                 continue
             p = battery(token, kind)
-            tested.append((p["language"], p["random"], a, b))
-    tested.sort()
-    last = max((k for k, t in enumerate(tested, 1) if t[0] <= rate * k / len(tested)), default=0)
-    return [(a, 3, b) for _, r, a, b in tested[:last] if r >= LEAST_RANDOM]
+            out.append((a, b, level_of(p["language"]), p["random"]))
+    return out
+
+
+def first_level(counts: dict[int, int], rate: float = RATE) -> int:
+    """The level from which Benjamini-Hochberg rejects, from the number of tokens at each level; beyond TOP
+    if nowhere.  A token at a level has a p-value of at most 2 ** (-level / GRID)."""
+    total, so_far, found = sum(counts.values()), 0, TOP + 1
+    for level in sorted(counts, reverse=True):
+        so_far += counts[level]
+        if 2.0 ** (-level / GRID) <= rate * so_far / total:
+            found = level
+    return found
+
+
+def random_spans(text: str, taken: list[tuple[int, int, int]], level: int | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the tokens outside ``taken`` that the battery takes for random, from a level on:
+    that of the corpus, or else of one token alone."""
+    least = ceil(-log2(RATE) * GRID) if level is None else level
+    return [(a, 3, b) for a, b, found, r in tested(text, taken) if found >= least and r >= LEAST_RANDOM]
+
+
+def corpus_level(df: DataFrame, rate: float = RATE, text_col: str = "text") -> int:
+    """The level from which tokens are reported, from those of all texts: at most TOP + 1 sums leave the
+    executors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(TOP + 1, np.int64)
+        for b in batches:
+            for t in texts_of(b):
+                for _, _, level, _ in tested(t, base_spans(t)):
+                    counts[level] += 1
+        own = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], ["level", "n"])
+
+    sums = map_texts(df, run, "level bigint, n bigint", text=text_col).groupBy("level").agg(F.sum("n").alias("n")).collect()
+    return first_level({r.level: r.n for r in sums}, rate)
 
 
-def spans_of(text: str, rate: float = RATE) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str, level: int | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, each by start and then by kind as listed."""
     base = sorted(base_spans(text))
-    return base, sorted(base + random_spans(text, base, rate))
+    return base, sorted(base + random_spans(text, base, level))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -180,12 +235,15 @@ def secret_spans(df: DataFrame, rate: float = RATE, id_col: str = "doc_id", text
 
     spans: ``kind:start:end`` by start and then by kind in the order assign, access, hex, random,
     joined by commas; code points from 0, end exclusive.  base_sha256: digest of the same without
-    the kind random.  A null or empty text has no spans.  No shuffle.
+    the kind random.  A null or empty text has no spans, an empty table no rows; repeated rows are judged
+    alike and count each.  Texts are read whole, of any length; other columns are not looked at.  Two passes,
+    no shuffle of texts.
     """
+    level = corpus_level(df, rate, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spans_of(t, rate) for t in texts_of(b)]
+            found = [spans_of(t, level) for t in texts_of(b)]
             columns = {"doc_id": b.column("doc_id")}
             for k, kind in enumerate(KINDS):
                 columns[f"n_{kind}"] = pa.array([sum(s[1] == k for s in spans) for _, spans in found], pa.int64())
@@ -198,10 +256,10 @@ def secret_spans(df: DataFrame, rate: float = RATE, id_col: str = "doc_id", text
     return map_texts(df, run, schema, doc_id=id_col, text=text_col)
 
 
-def redact(text: str, rate: float = RATE, mark: str = "[{}]") -> str:
+def redact(text: str, level: int | None = None, mark: str = "[{}]") -> str:
     """The text with each found span replaced by its kind; spans that overlap are one."""
     out, at = [], 0
-    for a, k, b in spans_of(text, rate)[1]:
+    for a, k, b in spans_of(text, level)[1]:
         if a >= at:
             out += [text[at:a], mark.format(KINDS[k])]
         at = max(at, b)
@@ -210,12 +268,13 @@ def redact(text: str, rate: float = RATE, mark: str = "[{}]") -> str:
 
 def redacted(df: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
     """All rows and columns, with the secrets in ``text_col`` replaced by their kind in brackets.
-    Null stays null."""
+    Null stays null; the table's own tokens set the level."""
+    level = corpus_level(df, rate, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.schema.get_field_index(text_col)
-            texts = [t if t is None else redact(t, rate) for t in b.column(k).to_pylist()]
+            texts = [t if t is None else redact(t, level) for t in b.column(k).to_pylist()]
             yield b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
 
     return map_texts(df, run, df.schema, **{c: c for c in df.columns})

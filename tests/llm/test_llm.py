@@ -296,6 +296,27 @@ def test_language_held_out(spark):
     assert {x.lang_pred for x in language.identify(df, nothing).collect()} == {"und"}
 
 
+def test_languages_against_exact_sets(spark):
+    """The filter's shares are those of exact sets of n-grams, up to its false positives."""
+    r = random.Random(4)
+    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(40))
+    langs = ["aa", "bb", "cc"]
+    texts = [make(("abcdefgh", "efghijkl", "abcdäöü")[k % 3]) for k in range(90)]
+    df = docs(spark, texts, [langs[k % 3] for k in range(90)])
+    model = language.train(df.filter("doc_id < 60"))
+    counts = {x: Counter() for x in langs}
+    for k in range(60):
+        g, _ = language.grams([texts[k].encode()])
+        counts[langs[k % 3]].update(g[~language._blank(g)].tolist())
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    sets = {x: {g for g, n in share[x].items() if n * language.FOREIGN >= max(share[y].get(g, 0) for y in langs)} for x in langs}
+    for x in language.identify(df, model).collect():
+        g, _ = language.grams([texts[x.doc_id].encode()])
+        own = g[~language._blank(g)].tolist()
+        exact = {y: sum(v in sets[y] for v in own) / len(own) for y in langs}
+        assert abs(x.score - exact[x.lang_pred]) < 0.01 and exact[x.lang_pred] >= max(exact.values()) - 0.01
+
+
 def test_many_languages_share_the_filter():
     names = [f"l{k:02}" for k in range(20)]
     model = language.BloomModel(names, ((n, np.arange(100 * k, 100 * k + 150, dtype=np.uint32)) for k, n in enumerate(names)))
@@ -335,6 +356,26 @@ def test_windows_against_brute_force():
         assert {p for _, s, _, n in found[0] for p in range(s, s + n)} == hit and {x[0] for x in found[0]} == which
 
 
+def test_longest_matches_against_brute_force():
+    r = random.Random(12)
+    for window in (2, 3, 5, 10):
+        for _ in range(40):
+            item = [r.choice("ab") for _ in range(r.randint(window, 30))]
+            text = [r.choice("abc") for _ in range(20)] + item[: r.randint(window, len(item))] + ["z"] + item[-window:]
+            _, found = decontamination.TestSet([("i", " ".join(item).encode())], window).matches([b"", " ".join(text).encode()])
+            want = set()
+            for p in range(len(text)):
+                for q in range(len(item)):
+                    if p and q and text[p - 1] == item[q - 1]:
+                        continue
+                    n = 0
+                    while p + n < len(text) and q + n < len(item) and text[p + n] == item[q + n]:
+                        n += 1
+                    if n >= window:
+                        want.add(("i", p, q, n))
+            assert set(found[1]) == want and found[0] == []
+
+
 def test_co_training_held_out(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
