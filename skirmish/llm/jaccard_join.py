@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, drop, map_texts, named, raw_texts
+from .common import cut, drop, map_texts, named, raw_texts, shards
 
 #: Groups beyond those that a link needs to share one signature.
 SPARE = 2
@@ -43,7 +43,8 @@ SKETCH_LONGS = 64
 SHORT_LONGS = 4
 #: Parts into which the edges of a node are dealt, so that the centre of a star is no task of its own.
 PARTS = 32
-REMEMBERED_WORDS = 500_000
+#: Bytes of texts whose words are digested at once.
+STEP_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -54,30 +55,61 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        self[word] = value
-        return value
+#: A number for each byte; A-Z count as lower case.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _M1)
+_BYTES[65:91] = _BYTES[97:123]
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-_words = _Words()
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    base = int(_M1)
+    inverse = pow(base, -1, 1 << 64)
+    out = []
+    for b in (base, inverse):
+        p = np.ones(n, np.uint64)
+        p[1:] = np.uint64(b)
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """The distinct word shingles as sorted 64-bit digests; A-Z count as lower case.  Fewer words
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the bytes begin, and a 64-bit digest of each: a polynomial in its bytes."""
+    raw = np.frombuffer(data, np.uint8)
+    blank = np.concatenate([[True], _BLANK[raw], [True]])
+    turn = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = turn[::2], turn[1::2]
+    up, down = _powers(1 << max(16, len(raw).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)])
+    return start, _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def all_shingles(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """Of each text the distinct word shingles as sorted 64-bit digests; A-Z count as lower case.  Fewer words
     than ``size`` are one shingle; no words, none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, min(size, len(h)), np.uint64)
-    for k in range(min(size, len(h))):
-        out = _mix(out * _M1 + h[k : k + n])
-    return np.unique(out)
+
+    def joined(h: np.ndarray, size: int) -> np.ndarray:
+        n = max(0, len(h) - size + 1)
+        out = np.full(n, size, np.uint64)
+        for k in range(size):
+            out = _mix(out * _M1 + h[k : k + n])
+        return out
+
+    for a, b in shards(map(len, texts), STEP_BYTES):
+        start, h = _words(b" ".join(texts[a:b]))
+        begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
+        first = np.searchsorted(start, begins).tolist()
+        whole = joined(h, size)
+        for x, y in zip(first[:-1], first[1:], strict=True):
+            if y - x >= size:
+                yield np.unique(whole[x : y - size + 1])
+            else:
+                yield joined(h[x:y], y - x) if y > x else np.zeros(0, np.uint64)
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
+    return next(all_shingles([text], size), np.zeros(0, np.uint64))
 
 
 class Scheme:
@@ -88,9 +120,10 @@ class Scheme:
         self.cells = cells or (2 if 100 + percent >= 16 * (100 - percent) else 4)
         self.percent, self.slack = percent, self.cells // 2 if slack is None else slack
         cells, slack = self.cells, self.slack
-        #: Signatures are dealt in so many passes, band by band, so that a pass's shuffle stays small.
-        #: A set signs for one band or two neighbours, so in a pass for one.
-        self.passes = 2 if cells == 2 else 4
+        #: Signatures are dealt in so many passes over the texts, each of two turns.  A set signs for one band
+        #: or two neighbours, so in a turn for one.
+        self.passes = 1 if cells == 2 else 2
+        self.turns = 2 * self.passes
         #: Each band is wide enough for a set's partners to lie in it or the next.
         wider = max(1.5, 100 / percent * 1.05)
         self.edges = [1]
@@ -135,11 +168,11 @@ class Scheme:
         return shared
 
     def signatures(self, features: np.ndarray, turn: int) -> tuple[np.ndarray, int]:
-        """The signatures of a set in the bands of one pass, and how many of them it must share to link.
+        """The signatures of a set in the bands of one turn, and how many of them it must share to link.
         Bands with K = 0 give none: there only equal sets link."""
         for band in self.bands(len(features)):
             k, groups = self.shape(band)
-            if k and band % self.passes == turn:
+            if k and band % self.turns == turn:
                 break
         else:
             return np.zeros(0, np.uint64), 1
@@ -179,7 +212,7 @@ def _node(features: np.ndarray) -> int | None:
 def _sketches(scheme: Scheme, size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, size) for t in raw_texts(b)]
+            found = list(all_shingles(raw_texts(b), size))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "key": b.column("key"), "node": pa.array(map(_node, found), pa.int64()),
                 "n": pa.array(map(len, found), pa.int64()),
@@ -189,27 +222,26 @@ def _sketches(scheme: Scheme, size: int):
     return run
 
 
-def _signed(scheme: Scheme, size: int, turn: int):
-    """(signature, node, least), once for equal texts that a task sees close together."""
+def _signed(scheme: Scheme, size: int, turns: list[int]):
+    """(signature, node, turn, least), once for equal texts that a task sees close together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            signatures, nodes, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for t in raw_texts(b):
-                f = shingles(t, size)
+            out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+            for f in all_shingles(raw_texts(b), size):
                 node = _node(f)
                 if node is None or node in seen:
                     continue
                 if len(seen) >= REMEMBERED_NODES:
                     seen.clear()
                 seen.add(node)
-                own, need = scheme.signatures(f, turn)
-                signatures.append(own.view(np.int64))
-                nodes.append(np.full(len(own), node, np.int64))
-                least.append(np.full(len(own), need, np.int32))
-            columns = [pa.array(np.concatenate(x)) for x in (signatures, nodes, least)]
-            yield pa.RecordBatch.from_arrays(columns, ["signature", "node", "least"])
+                for turn in turns:
+                    own, least = scheme.signatures(f, turn)
+                    n = len(own)
+                    out.append((own.view(np.int64), np.full(n, node, np.int64), np.full(n, turn, np.int32), np.full(n, least, np.int32)))
+            columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["signature", "node", "turn", "least"])
 
     return run
 
@@ -217,7 +249,7 @@ def _signed(scheme: Scheme, size: int, turn: int):
 def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, size) for t in raw_texts(b)]
+            found = list(all_shingles(raw_texts(b), size))
             yield pa.RecordBatch.from_pydict({
                 "node": pa.array(map(_node, found), pa.int64()),
                 "features": pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())),
@@ -319,19 +351,19 @@ def similarity_classes(
     )
 
 
-def _members(docs: DataFrame, scheme: Scheme, size: int, text_col: str, turn: int) -> DataFrame:
-    """(signature, node) of one pass, of the nodes that share as many signatures as a link needs."""
+def _members(docs: DataFrame, scheme: Scheme, size: int, text_col: str, turns: list[int]) -> DataFrame:
+    """(signature, node, turn, least) of one pass, of the nodes that share as many signatures as a link needs."""
 
     def shared(rows: DataFrame) -> DataFrame:
         several = rows.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
         return rows.join(several.select("signature").hint("shuffle_hash"), "signature")
 
-    dealt = map_texts(docs, _signed(scheme, size, turn), "signature bigint, node bigint, least int", text=text_col).repartition("signature")
+    dealt = map_texts(docs, _signed(scheme, size, turns), "signature bigint, node bigint, turn int, least int", text=text_col).repartition("signature")
     now = cut(shared(dealt).distinct())
     n = now.count()
     while True:
-        enough = now.groupBy("node").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n >= least")
-        before, now = now, cut(shared(now.join(enough.select("node"), "node", "left_semi")))
+        enough = now.groupBy("node", "turn").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n >= least")
+        before, now = now, cut(shared(now.join(enough.select("node", "turn"), ["node", "turn"], "left_semi")))
         drop(before)
         was, n = n, now.count()
         if n >= 0.9 * was:
@@ -340,7 +372,7 @@ def _members(docs: DataFrame, scheme: Scheme, size: int, text_col: str, turn: in
 
 def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect all that are connected."""
-    passes = [_members(docs, scheme, size, text_col, turn) for turn in range(scheme.passes)]
+    passes = [_members(docs, scheme, size, text_col, [2 * k, 2 * k + 1]) for k in range(scheme.passes)]
     member = passes[0]
     for more in passes[1:]:
         member = member.union(more)
