@@ -14,7 +14,7 @@ from .context_tree import language_scores
 from .decontamination import contamination
 from .jaccard_join import similarity_classes
 from .language import identify, train
-from .licences import licence_scan
+from .licences import LEAST_COSINE, LICENCE_FILE, MARKS, TEMPLATES, TERM, YEAR, licence_scan
 from .repetition import repetition_rules
 from .secret_scan import secret_spans
 
@@ -93,10 +93,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_co_training": op10_co_training,
 }
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TERMS = f"[t FOR t IN regexp_extract_all(lower({{}}), {_sql(TERM)}) IF NOT regexp_matches(t, {_sql(YEAR)})]"
+
 #: Lower case for A-Z only, in DuckDB.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op5_licence_scan": rf"""
+        WITH template(licence, body) AS (VALUES {", ".join(f"({_sql(x)}, {_sql(y)})" for x, y in TEMPLATES)}),
+        size AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM template)),
+        had AS (SELECT licence, body, term, count(*) AS tf FROM (SELECT licence, body, unnest({_TERMS.format("body")}) AS term FROM template) GROUP BY 1, 2, 3),
+        idf AS (SELECT term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM had, size GROUP BY 1),
+        raw AS (SELECT licence, body, term, (ln(tf) + 1.0) * idf AS w FROM had JOIN idf USING (term)),
+        weight AS (SELECT licence, body, term, w / sqrt(sum(w * w) OVER (PARTITION BY licence, body)) AS w FROM raw),
+        file AS (
+            SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_replace(text, {_sql(MARKS)}, '', 'g') AS body
+            FROM (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(doc_id AS VARCHAR) AS path, text FROM documents)),
+        unit AS (
+            SELECT doc_id, 0 AS kind, 0 AS unit, body FROM file
+            UNION ALL SELECT doc_id, 1, unnest(range(len(b))), unnest(b) FROM (SELECT doc_id, string_split_regex(body, '\n([ \t\r]*\n)+') AS b FROM file)
+            UNION ALL SELECT doc_id, 2, unnest(range(len(b))), unnest(b) FROM (SELECT doc_id, string_split(body, chr(10)) AS b FROM file)),
+        tf AS (
+            SELECT doc_id, kind, unit, term, count(*) AS tf FROM (SELECT doc_id, kind, unit, unnest({_TERMS.format("body")}) AS term FROM unit) GROUP BY 1, 2, 3, 4),
+        u AS (SELECT tf.doc_id, kind, unit, term, idf, (ln(tf) + 1.0) * coalesce(idf, (SELECT ln(1.0 + n) + 1.0 FROM size)) AS u FROM tf LEFT JOIN idf USING (term)),
+        norm AS (SELECT doc_id, kind, unit, sqrt(sum(u * u)) AS norm FROM u GROUP BY 1, 2, 3),
+        dot AS (SELECT doc_id, kind, unit, licence, body, sum(u * w) AS dot FROM u JOIN weight USING (term) GROUP BY 1, 2, 3, 4, 5),
+        near AS (SELECT doc_id, kind, licence, round(dot / norm, 6) AS cosine FROM dot JOIN norm USING (doc_id, kind, unit) WHERE round(dot / norm, 6) >= {LEAST_COSINE}),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind > 0, -cosine, licence) AS k FROM near) WHERE k = 1),
+        known AS (
+            SELECT file.doc_id, path, dir, licence AS own, cosine, licence IS NOT NULL AND (kind = 0 OR regexp_matches(path, {_sql(LICENCE_FILE)})) AS speaks
+            FROM file LEFT JOIN best USING (doc_id)),
+        says AS (SELECT * FROM (SELECT dir AS up, own AS dir_licence, path AS declared_in, row_number() OVER (PARTITION BY dir ORDER BY -cosine, path, own) AS k FROM known WHERE speaks) WHERE k = 1),
+        above AS (
+            SELECT DISTINCT dir, array_to_string(s[1:i], '/') AS up
+            FROM (SELECT dir, s, unnest(range(0, len(s) + 1)) AS i FROM (SELECT DISTINCT dir, string_split(dir, '/') AS s FROM file))),
+        given AS (SELECT * FROM (SELECT dir, dir_licence, declared_in, row_number() OVER (PARTITION BY dir ORDER BY length(up) DESC, dir_licence DESC, declared_in DESC) AS k FROM above JOIN says USING (up)) WHERE k = 1)
+        SELECT doc_id, path, coalesce(own, dir_licence) AS licence, cosine,
+               CASE WHEN own IS NOT NULL THEN CASE WHEN speaks THEN 'file' ELSE 'header' END WHEN dir_licence IS NOT NULL THEN 'inherited' END AS how,
+               CASE WHEN own IS NULL THEN declared_in END AS declared_in
+        FROM known LEFT JOIN given USING (dir)""",
     "op3_jaccard_join": rf"""
         WITH RECURSIVE doc AS (
             SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
