@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import is_crowd_control, is_remove_all
+from ..functions.predicates import is_crowd_control, is_health_damage, is_remove_all
 from ..plans.frames import Frames
-from ..plans.joins import fuse, grid, step_spans
+from ..plans.joins import band_join, fuse, grid, step_spans
 from ..schema import BOONS, DODGE, RESURRECT, Result, State
 
 
@@ -89,10 +89,13 @@ def casts(f: Frames) -> DataFrame:
 
     A start without a stop lasts as it announces, to the log's end at most; a stop without a start counts
     if its cast began before the log.  A stop that differs from the time between by more than 10 ms is
-    overruled by it.  Casts of 1 ms or less are left out.  status: full, interrupted, reduced or unknown;
-    time_gained is negative for interrupted casts."""
-    stop_codes = F.col("is_statechange") == State.ANIMATION_STOP
-    rows = f.events.filter(F.col("post_era") & F.col("is_statechange").isin(State.ANIMATION_START, State.ANIMATION_STOP)).join(f.side("squad", "src"), ["log_id", "src_agent"])
+    overruled by it.  Casts of 1 ms or less are left out; one without a stop ends 10 ms into the account's next
+    cast at the latest.  status: full, interrupted, reduced or unknown; time_gained is negative for interrupted
+    casts.  Logs of the older format have starts and stops as activations of ordinary rows."""
+    plain, code = F.col("is_statechange") == State.NONE, F.col("is_activation")
+    start_codes = F.when(F.col("post_era"), F.col("is_statechange") == State.ANIMATION_START).otherwise(plain & code.isin(1, 2))
+    stop_codes = F.when(F.col("post_era"), F.col("is_statechange") == State.ANIMATION_STOP).otherwise(plain & code.between(3, 6))
+    rows = f.events.filter(start_codes | stop_codes).join(f.side("squad", "src"), ["log_id", "src_agent"])
     rows = rows.join(f.log_times, "log_id").select(
         "log_id", F.col("src_rep").alias("rep"), "skillid", (F.col("time") - F.col("t0")).alias("at_ms"), "seq", stop_codes.alias("stop"),
         F.col("value").cast("bigint").alias("value"), F.col("buff_dmg").cast("bigint").alias("buff_dmg"), F.col("is_activation").alias("code"), "duration_ms",
@@ -110,11 +113,14 @@ def casts(f: Frames) -> DataFrame:
     actual = F.when(paired, F.when(off, seen).otherwise(F.col("n_value"))).when(alone, F.least(expected, F.col("duration_ms") - F.col("at_ms"))).otherwise(F.col("value"))
     planned = F.when(paired, F.when(F.col("skillid") == DODGE, actual).otherwise(expected)).when(alone, expected).otherwise(F.col("value"))
     scaled = F.when(F.col("skillid") == DODGE, 0).when(paired, F.when(off, 0).otherwise(F.col("n_buff"))).when(alone, 0).otherwise(F.col("buff_dmg"))
+    fast = alone & (F.col("code") == 2)
     code = F.when(paired, F.col("n_code")).when(alone, None).otherwise(F.col("code"))
     began = F.when(F.col("stop"), F.col("at_ms") - F.col("value")).otherwise(F.col("at_ms"))
-    out = rows.select("log_id", "rep", "skillid", began.alias("at_ms"), actual.alias("cast_ms"), planned.alias("planned"), scaled.alias("scaled"), F.when(F.col("skillid") == RESURRECT, None).otherwise(code).alias("code"), alone.alias("open"), F.col("seq")).filter("cast_ms > 1")
+    out = rows.select("log_id", "rep", "skillid", began.alias("at_ms"), actual.alias("cast_ms"), planned.alias("planned"), scaled.alias("scaled"), F.when(F.col("skillid") == RESURRECT, None).otherwise(code).alias("code"), alone.alias("open"), fast.alias("fast"), F.col("seq")).filter("cast_ms > 1")
+    after = F.lead("at_ms").over(Window.partitionBy("log_id", "rep").orderBy("at_ms", "skillid", "seq")) + 10 - F.col("at_ms")
+    out = out.withColumn("cast_ms", F.when(F.col("open") & (after < F.col("cast_ms")), after).otherwise(F.col("cast_ms")))
     ratio = F.when(F.col("scaled") > 0, F.col("scaled") / F.col("cast_ms")).otherwise(F.lit(1.0))
-    quick = F.when(F.col("scaled") > 0, F.when(ratio > 1, (ratio - 1) / 0.5).otherwise(-(1 - ratio) / 0.6)).otherwise(F.lit(0.0))
+    quick = F.when(F.col("scaled") > 0, F.when(ratio > 1, (ratio - 1) / 0.5).otherwise(-(1 - ratio) / 0.6)).otherwise(F.col("fast").cast("double"))
     gained = F.when(F.col("code") == 4, -F.col("cast_ms")).when(F.col("code").isin(3, 6), F.greatest(F.bround(F.col("planned") / ratio).cast("bigint") - F.col("cast_ms"), F.lit(0))).otherwise(0)
     status = F.when(F.col("code") == 4, "interrupted").when(F.col("code") == 5, "full").when(F.col("code").isin(3, 6), "reduced").otherwise("unknown")
     return out.select("log_id", "rep", "skillid", "at_ms", "seq", "cast_ms", gained.cast("bigint").alias("time_gained"), F.round(F.greatest(F.least(quick, F.lit(1.0)), F.lit(-1.0)), 3).alias("quickness"), status.alias("status"))
@@ -154,25 +160,79 @@ def active_time(f: Frames) -> DataFrame:
     return out.select("log_id", "rep", F.greatest(F.col("duration_ms") - F.coalesce("dead_ms", F.lit(0)), F.lit(0)).alias("active_ms"))
 
 
+#: A position is told again only when it changes, at the latest so many ms after it began to (fixed value).
+POLL_MS = 300
+
+
 def tracks(f: Frames, step: int = 300) -> DataFrame:
-    """Positions of the squad every ``step`` ms between an agent's first and last one: between two
-    positions on the straight line, in single precision."""
-    rows = f.events.filter(F.col("is_statechange").isin(State.POSITION, State.TELEPORT)).join(f.side("squad", "src"), ["log_id", "src_agent"])
-    rows = rows.join(f.log_times, "log_id").groupBy("log_id", F.col("src_rep").alias("rep"), (F.col("time") - F.col("t0")).alias("at_ms")).agg(F.max_by(F.struct("x", "y", "z"), "seq").alias("p"))
-    w = Window.partitionBy("log_id", "rep").orderBy("at_ms")
-    legs = rows.withColumn("n_at", F.lead("at_ms").over(w)).withColumn("n", F.lead("p").over(w))
-    first = (F.ceil(F.col("at_ms") / step) * step).cast("bigint")
-    last = F.coalesce((F.ceil(F.col("n_at") / step) * step).cast("bigint") - step, first)
-    legs = legs.filter((last >= first) & (F.col("n_at").isNotNull() | (first == F.col("at_ms"))))
-    legs = legs.withColumn("t_ms", F.explode(F.sequence(first, last, F.lit(step).cast("bigint"))))
-    share = F.when(F.col("n_at").isNull(), F.lit(0.0)).otherwise((F.col("t_ms") - F.col("at_ms")) / (F.col("n_at") - F.col("at_ms"))).cast("float")
-    at = lambda k: (F.col(f"p.{k}") + F.coalesce((F.col(f"n.{k}") - F.col(f"p.{k}")) * share, F.lit(0.0).cast("float"))).cast("float").alias(k)
+    """Positions of the squad every ``step`` ms from an account's first row to its last position.
+
+    Before the first position it holds; between two it stays where it was until ``POLL_MS`` before the second
+    (1 ms before, if that is a teleport), then moves on the straight line, in single precision.  The last grid
+    point is the first one at or after the last position."""
+    own = f.events.join(f.side("squad", "src"), ["log_id", "src_agent"]).withColumnRenamed("src_rep", "rep").join(f.log_times, "log_id")
+    at_ms = F.greatest(F.col("time") - F.col("t0"), F.lit(0)).alias("at_ms")
+    aware = own.groupBy("log_id", "rep").agg(F.min(F.greatest(F.col("time") - F.col("t0"), F.lit(0))).alias("aware"))
+    jump = (F.col("is_statechange") == State.TELEPORT).alias("jump")
+    rows = own.filter(F.col("is_statechange").isin(State.POSITION, State.TELEPORT)).select("log_id", "rep", at_ms, jump, "seq", F.struct("x", "y", "z").alias("p"))
+    w = Window.partitionBy("log_id", "rep").orderBy("at_ms", "jump", "seq")
+    rows = rows.withColumn("jumps", F.max("jump").over(Window.partitionBy("log_id", "rep", "at_ms")))
+    rows = rows.withColumn("n_at", F.lead("at_ms").over(w)).withColumn("n", F.lead("p").over(w)).withColumn("n_jumps", F.lead("jumps").over(w)).withColumn("first", F.row_number().over(w) == 1)
+    rows = rows.join(f.like_roster(aware), ["log_id", "rep"])
+    up = lambda c: (F.ceil(F.col(c) / step) * step).cast("bigint")
+    begin = F.when(F.col("first"), F.least(up("aware"), up("at_ms"))).otherwise(up("at_ms"))
+    legs = rows.withColumn("begin", begin).withColumn("end", F.when(F.col("n_at").isNull(), up("at_ms")).otherwise(up("n_at") - step)).filter("end >= begin")
+    legs = legs.withColumn("t_ms", F.explode(F.sequence("begin", "end", F.lit(step).cast("bigint"))))
+    moves = F.greatest(F.col("at_ms"), F.col("n_at") - F.when(F.col("n_jumps"), 1).otherwise(POLL_MS))
+    share = F.when((F.col("t_ms") > moves) & F.col("n_at").isNotNull(), (F.col("t_ms") - moves).cast("float") / (F.col("n_at") - moves).cast("float")).otherwise(F.lit(0.0)).cast("float")
+    legs = legs.withColumn("share", share)
+    at = lambda k: F.when(F.col("share") > 0, (F.col(f"p.{k}") + (F.col(f"n.{k}") - F.col(f"p.{k}")) * F.col("share")).cast("float")).otherwise(F.col(f"p.{k}")).alias(k)
     return legs.select("log_id", "rep", "t_ms", at("x"), at("y"), at("z"))
 
 
-def distance_to_centre(f: Frames, step: int = 300) -> DataFrame:
-    """Mean distance of each account to the squad's centre over the ticks where it has a position."""
+def fighting(f: Frames) -> DataFrame:
+    """(log_id, rep): squad accounts that dealt or took hostile health damage or gave a buff to another agent."""
+    gives = (F.col("buff") != 0) & (F.col("value") != 0)
+    rows = f.events.filter("is_statechange = 0 and is_activation = 0 and is_buffremove = 0")
+    rows = rows.select("log_id", "src_agent", "dst_agent", gives.alias("gives"), (~gives & is_health_damage() & (F.col("iff") != 0)).alias("hurts")).filter("gives or hurts")
+    rows = rows.join(f.side("squad", "src"), ["log_id", "src_agent"], "left").join(f.side("squad", "dst"), ["log_id", "dst_agent"], "left")
+    given = F.col("gives") & ~F.col("src_rep").eqNullSafe(F.col("dst_rep"))
+    who = rows.filter(F.col("hurts") | given).select("log_id", F.explode(F.when(F.col("hurts"), F.array("src_rep", "dst_rep")).otherwise(F.array("src_rep"))).alias("rep"))
+    return who.filter("rep is not null").distinct()
+
+
+def _active(f: Frames, samples: DataFrame, step: int) -> DataFrame:
+    """Samples that lie strictly inside no down or dead interval of their account."""
+    spans = state_intervals(f).filter("stop - start > 1").select("log_id", "rep", (F.col("start") + 1).alias("lo"), (F.col("stop") - 1).alias("hi"))
+    lost = band_join(samples.select("log_id", "rep", "t_ms"), spans, ["log_id", "rep"], "t_ms", "lo", "hi", 100 * step).select("log_id", "rep", "t_ms").distinct()
+    return samples.join(lost, ["log_id", "rep", "t_ms"], "left_anti")
+
+
+def distances(f: Frames, step: int = 300, commanders: DataFrame | None = None) -> DataFrame:
+    """Mean distance, on the ground, of each account to the squad's centre and to the commander over the ticks
+    where it is up and they are somewhere; -1 without any.
+
+    The centre is that of the accounts that fight, where they are up, to the log's end.  ``commanders``:
+    (log_id, rep, start, stop), ms since the log's start; of tags that overlap the earlier one goes on first."""
     t = tracks(f, step)
-    centre = t.groupBy("log_id", "t_ms").agg(*(F.avg(k).alias(f"c{k}") for k in "xyz"))
-    d = F.sqrt(sum((F.col(k) - F.col(f"c{k}")) * (F.col(k) - F.col(f"c{k}")) for k in "xyz"))
-    return t.join(centre, ["log_id", "t_ms"]).groupBy("log_id", "rep").agg(F.round(F.avg(d), 3).alias("distance"))
+    up = _active(f, t, step)
+    who = fighting(f)
+    inside = F.floor(F.col("t_ms") / step) < F.floor(F.col("duration_ms") / step)
+    centre = up.join(f.like_roster(who), ["log_id", "rep"], "left_semi").join(f.log_times, "log_id").filter(inside)
+    centre = centre.groupBy("log_id", "t_ms").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    apart = lambda x, y: F.sqrt((F.col("x") - F.col(x)) * (F.col("x") - F.col(x)) + (F.col("y") - F.col(y)) * (F.col("y") - F.col(y)))
+    both = up.join(centre, ["log_id", "t_ms"], "left").withColumn("to_centre", apart("cx", "cy")).withColumn("to_commander", F.lit(None).cast("double"))
+    if commanders is not None:
+        w = Window.partitionBy("log_id").orderBy("start", "rep")
+        tags = commanders.join(who, ["log_id", "rep"], "left_semi").withColumn("taken", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        tags = tags.select("log_id", "rep", F.greatest("start", F.coalesce("taken", "start")).alias("lo"), (F.greatest("stop", F.coalesce("taken", "stop")) - 1).alias("hi")).filter("lo <= hi")
+        led = band_join(t, tags, ["log_id", "rep"], "t_ms", "lo", "hi", 100 * step).groupBy("log_id", "t_ms").agg(F.first("x").alias("lx"), F.first("y").alias("ly"))
+        both = both.drop("to_commander").join(led, ["log_id", "t_ms"], "left").withColumn("to_commander", apart("lx", "ly"))
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 3), F.lit(-1.0)).alias(c)
+    found = both.groupBy("log_id", "rep").agg(mean("to_centre"), mean("to_commander"))
+    listed = t.select("log_id", "rep").distinct()
+    return listed.join(found, ["log_id", "rep"], "left").fillna(-1.0, ["to_centre", "to_commander"])
+
+
+def distance_to_centre(f: Frames, step: int = 300) -> DataFrame:
+    return distances(f, step).select("log_id", "rep", F.col("to_centre").alias("distance"))

@@ -48,6 +48,36 @@ _HEAL = """
           LEFT JOIN owned w ON w.log_id = k.log_id AND w.seq = k.seq LEFT JOIN squad o ON o.log_id = k.log_id AND o.addr = w.owner LEFT JOIN roster t ON t.log_id = k.log_id AND t.addr = k.target
           WHERE (peer OR NOT any_peer) AND coalesce(s.rep, o.rep) IS NOT NULL)"""
 
+#: Casts and tracks, in SQL.
+_CASTS = """
+        , i AS (SELECT b.log_id, s_rep AS rep, skillid, b.time - t0 AS at_ms, seq, CASE WHEN post_era THEN is_statechange = 68 ELSE is_activation BETWEEN 3 AND 6 END AS stop, CAST(value AS BIGINT) AS v, CAST(buff_dmg AS BIGINT) AS bd, is_activation AS code, duration_ms
+          FROM base b JOIN bounds USING (log_id) WHERE s_rep IS NOT NULL AND CASE WHEN post_era THEN is_statechange IN (67, 68) ELSE is_statechange = 0 AND is_activation BETWEEN 1 AND 6 END),
+        n AS (SELECT *, lead(stop) OVER w AS n_stop, lead(at_ms) OVER w AS n_at, lead(v) OVER w AS n_v, lead(bd) OVER w AS n_bd, lead(code) OVER w AS n_code, lag(stop) OVER w AS p_stop FROM i WINDOW w AS (PARTITION BY log_id, rep, skillid ORDER BY at_ms, seq)),
+        c AS (
+          SELECT log_id, rep, skillid, at_ms, seq, CASE WHEN abs(n_v - (n_at - at_ms)) > 10 THEN n_at - at_ms ELSE n_v END AS ms, CASE WHEN skillid = 23275 THEN NULL WHEN bd > 0 THEN bd ELSE v END AS planned,
+            CASE WHEN skillid = 23275 OR abs(n_v - (n_at - at_ms)) > 10 THEN 0 ELSE n_bd END AS scaled, n_code AS code, false AS open, false AS fast FROM n WHERE NOT stop AND n_stop
+          UNION ALL SELECT log_id, rep, skillid, at_ms, seq, least(CASE WHEN skillid = 23275 THEN 750 WHEN bd > 0 THEN bd ELSE v END, duration_ms - at_ms), NULL, 0, NULL, true, code = 2 FROM n WHERE NOT stop AND NOT coalesce(n_stop, false)
+          UNION ALL SELECT log_id, rep, skillid, at_ms - v, seq, v, v, CASE WHEN skillid = 23275 THEN 0 ELSE bd END, code, false, false FROM n WHERE stop AND coalesce(p_stop, true) AND at_ms - v < 0),
+        d AS (SELECT *, lead(at_ms) OVER (PARTITION BY log_id, rep ORDER BY at_ms, skillid, seq) + 10 - at_ms AS room FROM c WHERE ms > 1),
+        e AS (SELECT * EXCLUDE (ms, code), CASE WHEN open AND room < ms THEN room ELSE ms END AS cast_ms, CASE WHEN skillid = 1066 THEN NULL ELSE code END AS code, CASE WHEN scaled > 0 THEN scaled / CAST(ms AS DOUBLE) ELSE 1.0 END AS ratio FROM d),
+        casts AS (SELECT log_id, rep, skillid, at_ms, seq, cast_ms,
+          CAST(CASE WHEN code = 4 THEN -cast_ms WHEN code IN (3, 6) THEN greatest(CAST(round_even(coalesce(planned, cast_ms) / ratio, 0) AS BIGINT) - cast_ms, 0) ELSE 0 END AS BIGINT) AS time_gained,
+          round(CASE WHEN scaled > 0 THEN greatest(least(CASE WHEN ratio > 1 THEN (ratio - 1) / 0.5 ELSE -(1 - ratio) / 0.6 END, 1.0), -1.0) WHEN fast THEN 1.0 ELSE 0.0 END, 3) AS quickness,
+          CASE WHEN code = 4 THEN 'interrupted' WHEN code = 5 THEN 'full' WHEN code IN (3, 6) THEN 'reduced' ELSE 'unknown' END AS status FROM e)"""
+_TRACKS = """
+        , own AS (SELECT b.log_id, s_rep AS rep, greatest(b.time - t0, 0) AS at_ms, seq, is_statechange AS s, x, y, z FROM base b JOIN bounds USING (log_id) WHERE s_rep IS NOT NULL),
+        pos AS (SELECT log_id, rep, at_ms, s = 85 AS jump, seq, x, y, z, bool_or(s = 85) OVER (PARTITION BY log_id, rep, at_ms) AS jumps, row_number() OVER (PARTITION BY log_id, rep ORDER BY at_ms, s = 85, seq) AS k FROM own WHERE s IN (19, 85)),
+        ends AS (SELECT p.log_id, p.rep, CAST(ceil(any_value(aware) / 300.0) AS BIGINT) * 300 AS lo, CAST(ceil(max(at_ms) / 300.0) AS BIGINT) * 300 AS hi FROM pos p JOIN (SELECT log_id, rep, min(at_ms) AS aware FROM own GROUP BY 1, 2) a ON a.log_id = p.log_id AND a.rep = p.rep GROUP BY 1, 2),
+        grid AS (SELECT log_id, rep, unnest(range(lo, hi + 1, 300)) AS t_ms FROM ends),
+        last_pos AS (SELECT * FROM pos QUALIFY row_number() OVER (PARTITION BY log_id, rep, at_ms ORDER BY k DESC) = 1),
+        g AS (SELECT grid.log_id, grid.rep, t_ms, coalesce(p.k, 0) AS k FROM grid ASOF LEFT JOIN last_pos p ON grid.log_id = p.log_id AND grid.rep = p.rep AND grid.t_ms >= p.at_ms),
+        m AS (SELECT g.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, b.at_ms AS bt, greatest(a.at_ms, b.at_ms - CASE WHEN b.jumps THEN 1 ELSE 300 END) AS moves
+          FROM g LEFT JOIN pos a ON a.log_id = g.log_id AND a.rep = g.rep AND a.k = g.k LEFT JOIN pos b ON b.log_id = g.log_id AND b.rep = g.rep AND b.k = g.k + 1),
+        h AS (SELECT *, CASE WHEN k > 0 AND bt IS NOT NULL AND t_ms > moves THEN CAST(CAST(t_ms - moves AS DOUBLE) / CAST(bt - moves AS DOUBLE) AS FLOAT) END AS share FROM m),
+        tracks AS (SELECT log_id, rep, t_ms, CASE WHEN k = 0 THEN bx WHEN share IS NULL THEN ax ELSE CAST(ax + CAST(CAST(bx - ax AS FLOAT) * share AS FLOAT) AS FLOAT) END AS x,
+          CASE WHEN k = 0 THEN by_ WHEN share IS NULL THEN ay ELSE CAST(ay + CAST(CAST(by_ - ay AS FLOAT) * share AS FLOAT) AS FLOAT) END AS y,
+          CASE WHEN k = 0 THEN bz WHEN share IS NULL THEN az ELSE CAST(az + CAST(CAST(bz - az AS FLOAT) * share AS FLOAT) AS FLOAT) END AS z FROM h)"""
+
 #: name -> (operator, SQL over the prelude or None where SQL can't express it)
 _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "squad_damage": (damage.squad_damage, """
@@ -205,8 +235,12 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
         g AS (SELECT log_id, rep, t0, t1, CASE WHEN rn = 1 THEN t0 ELSE time END AS at_ms, arg_max(health, seq) AS health FROM h GROUP BY 1, 2, 3, 4, 5),
         s AS (SELECT *, coalesce(lead(at_ms) OVER (PARTITION BY log_id, rep ORDER BY at_ms), t1) AS stop FROM g)
         SELECT log_id, rep, at_ms - t0 AS at_ms, health FROM (SELECT *, lag(health) OVER (PARTITION BY log_id, rep ORDER BY at_ms) AS was FROM s WHERE stop > at_ms) WHERE was IS DISTINCT FROM health"""),
-    "casts": (series.casts, None),
-    "cast_summary": (series.cast_summary, None),
+    "casts": (series.casts, _CASTS + """
+        SELECT * FROM casts"""),
+    "cast_summary": (series.cast_summary, _CASTS + """
+        SELECT log_id, rep, count(*) AS casts, count(*) FILTER (status = 'reduced' AND time_gained > 0) AS saved, CAST(coalesce(sum(time_gained) FILTER (status = 'reduced' AND time_gained > 0), 0) AS BIGINT) AS saved_ms,
+          count(*) FILTER (status = 'interrupted') AS wasted, CAST(coalesce(sum(-time_gained) FILTER (status = 'interrupted'), 0) AS BIGINT) AS wasted_ms, round(count(*) / (greatest(any_value(duration_ms), 1) / 60000.0), 3) AS casts_per_minute
+        FROM casts JOIN bounds USING (log_id) GROUP BY 1, 2"""),
     "state_intervals": (series.state_intervals, """
         , r AS (SELECT b.log_id, s_rep AS rep, time - t0 AS at_ms, seq, is_statechange AS s FROM base b JOIN bounds USING (log_id) WHERE is_statechange IN (3, 4, 5) AND s_rep IS NOT NULL),
         n AS (SELECT *, lead(s) OVER w AS ns, lead(at_ms) OVER w AS nt, lag(s) OVER w AS was, min(CASE WHEN s = 3 THEN at_ms END) OVER (PARTITION BY log_id, rep ORDER BY at_ms, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS up FROM r WINDOW w AS (PARTITION BY log_id, rep ORDER BY at_ms, seq))
@@ -216,8 +250,21 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
         n AS (SELECT *, lag(s) OVER w AS was, min(CASE WHEN s = 3 THEN t END) OVER (PARTITION BY log_id, rep ORDER BY t, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS up FROM r WINDOW w AS (PARTITION BY log_id, rep ORDER BY t, seq)),
         dead AS (SELECT log_id, rep, sum(up - t) AS ms FROM n WHERE s = 4 AND was IS DISTINCT FROM 4 AND up IS NOT NULL GROUP BY 1, 2)
         SELECT q.log_id, q.rep, CAST(greatest(duration_ms - coalesce(ms, 0), 0) AS BIGINT) AS active_ms FROM (SELECT DISTINCT log_id, rep FROM squad) q JOIN bounds USING (log_id) LEFT JOIN dead ON dead.log_id = q.log_id AND dead.rep = q.rep"""),
-    "tracks": (series.tracks, None),
-    "distance_to_centre": (series.distance_to_centre, None),
+    "tracks": (series.tracks, _TRACKS + """
+        SELECT * FROM tracks"""),
+    "fighting": (series.fighting, """
+        , act AS (SELECT * FROM (SELECT *, buff <> 0 AND value <> 0 AS gives FROM base WHERE is_statechange = 0 AND is_activation = 0 AND is_buffremove = 0))
+        SELECT * FROM (SELECT log_id, s_rep AS rep FROM act WHERE NOT gives AND health AND iff <> 0 UNION SELECT log_id, d_rep FROM act WHERE NOT gives AND health AND iff <> 0 UNION SELECT log_id, s_rep FROM act WHERE gives AND s_rep IS DISTINCT FROM d_rep) WHERE rep IS NOT NULL"""),
+    "distance_to_centre": (series.distance_to_centre, _TRACKS + """
+        , r AS (SELECT b.log_id, s_rep AS rep, time - t0 AS at_ms, seq, is_statechange AS s FROM base b JOIN bounds USING (log_id) WHERE is_statechange IN (3, 4, 5) AND s_rep IS NOT NULL),
+        sn AS (SELECT *, lead(s) OVER w AS ns, lead(at_ms) OVER w AS nt, lag(s) OVER w AS was, min(CASE WHEN s = 3 THEN at_ms END) OVER (PARTITION BY log_id, rep ORDER BY at_ms, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS up FROM r WINDOW w AS (PARTITION BY log_id, rep ORDER BY at_ms, seq)),
+        away AS (SELECT log_id, rep, at_ms AS a, nt AS b FROM sn WHERE s = 5 AND ns IN (3, 4) UNION ALL SELECT log_id, rep, at_ms, up FROM sn WHERE s = 4 AND was IS DISTINCT FROM 4 AND up IS NOT NULL),
+        here AS (SELECT t.* FROM tracks t WHERE NOT EXISTS (SELECT 1 FROM away WHERE away.log_id = t.log_id AND away.rep = t.rep AND a < t.t_ms AND t.t_ms < b)),
+        act AS (SELECT * FROM (SELECT *, buff <> 0 AND value <> 0 AS gives FROM base WHERE is_statechange = 0 AND is_activation = 0 AND is_buffremove = 0)),
+        who AS (SELECT log_id, s_rep AS rep FROM act WHERE NOT gives AND health AND iff <> 0 UNION SELECT log_id, d_rep FROM act WHERE NOT gives AND health AND iff <> 0 UNION SELECT log_id, s_rep FROM act WHERE gives AND s_rep IS DISTINCT FROM d_rep),
+        mid AS (SELECT h.log_id, t_ms, avg(CAST(x AS DOUBLE)) AS cx, avg(CAST(y AS DOUBLE)) AS cy FROM here h JOIN who USING (log_id, rep) JOIN bounds b ON b.log_id = h.log_id WHERE t_ms // 300 < duration_ms // 300 GROUP BY 1, 2),
+        d AS (SELECT log_id, rep, round(avg(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))), 3) AS distance FROM here JOIN mid USING (log_id, t_ms) GROUP BY 1, 2)
+        SELECT log_id, rep, coalesce(distance, -1.0) AS distance FROM (SELECT DISTINCT log_id, rep FROM tracks) LEFT JOIN d USING (log_id, rep)"""),
     "buff_uptime": (buffs.uptime, None),
     "boon_count": (buffs.boon_count, None),
     "buff_generated": (generation.generated, None),

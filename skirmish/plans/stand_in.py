@@ -29,7 +29,7 @@ FROM (
     CAST(CASE WHEN (seq % 4 <> 0 AND seq % 3 <> 0) OR u % 2 = 1 OR seq % 6 = 3 THEN 1 ELSE 0 END AS SMALLINT) AS iff,
     CAST(CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END AS SMALLINT) AS buff,
     CAST(CASE WHEN u % 3 = 2 AND seq % 5 = 0 THEN k % 6 ELSE (seq * 7 + k) % 19 END AS SMALLINT) AS result,
-    CAST(CASE WHEN u % 3 = 2 AND sc = 0 AND seq % 11 = 0 THEN 1 ELSE CASE WHEN sc = 68 THEN 3 + k % 4 ELSE 0 END END AS SMALLINT) AS is_activation,
+    CAST(CASE WHEN u % 3 = 2 AND sc = 0 AND seq % 11 < 4 AND k % 10 > 6 THEN 1 + seq % 11 + k % 3 ELSE CASE WHEN sc = 68 THEN 3 + k % 4 ELSE 0 END END AS SMALLINT) AS is_activation,
     CAST(CASE WHEN u % 3 = 2 AND sc = 0 AND seq % 13 = 0 THEN 1 ELSE 0 END AS SMALLINT) AS is_buffremove,
     CAST(CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END AS SMALLINT) AS is_ninety, CAST(seq % 2 AS SMALLINT) AS is_fifty,
     CAST(k % 4 AS SMALLINT) AS is_moving, CAST(seq % 2 AS SMALLINT) AS is_flanking,
@@ -39,7 +39,7 @@ FROM (
     CAST(v % 997 AS FLOAT) AS x, CAST(seq % 613 AS FLOAT) AS y, CAST(k % 17 AS FLOAT) AS z
   FROM (
     SELECT *, CASE event_type WHEN 'purchase' THEN 0
-      WHEN 'error' THEN CASE k % 10 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 72 WHEN 4 THEN 72 WHEN 5 THEN 71 WHEN 6 THEN 56 WHEN 7 THEN 19 WHEN 8 THEN 49 WHEN 9 THEN CASE WHEN k = 19 THEN 40 ELSE 0 END ELSE 0 END
+      WHEN 'error' THEN CASE k % 10 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 72 WHEN 4 THEN 72 WHEN 5 THEN 71 WHEN 6 THEN 56 WHEN 7 THEN CASE WHEN seq % 4 = 0 THEN 85 ELSE 19 END WHEN 8 THEN 49 WHEN 9 THEN CASE WHEN k = 19 THEN 40 ELSE 0 END ELSE 0 END
       WHEN 'click' THEN CASE WHEN seq % 2 = 0 THEN 67 ELSE 68 END WHEN 'view' THEN CASE k % 5 WHEN 0 THEN 57 WHEN 1 THEN 58 WHEN 2 THEN 59 ELSE 8 END ELSE 69 END AS sc
     FROM (SELECT event_id AS seq, {seconds} AS time, user_id AS u, {k} AS k, CAST(floor(value * 100) AS BIGINT) AS v, event_type FROM {events})
   )
