@@ -355,8 +355,9 @@ def _members(docs: DataFrame, scheme: Scheme, size: int, text_col: str, turns: l
     """(signature, node, turn, least) of one pass, of the nodes that share as many signatures as a link needs."""
 
     def shared(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-        return rows.join(several.select("signature").hint("shuffle_hash"), "signature")
+        # the sum keeps all columns in use, so that both sides read the same shuffle
+        several = rows.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.col("turn") + F.col("least")).alias("used"))
+        return rows.join(several.filter("low < high and used >= 0").select("signature").hint("shuffle_hash"), "signature")
 
     dealt = map_texts(docs, _signed(scheme, size, turns), "signature bigint, node bigint, turn int, least int", text=text_col).repartition("signature")
     now = cut(shared(dealt).distinct())
