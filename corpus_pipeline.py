@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.llm.bpe import encode_decode
-from skirmish.llm.common import shared_folder, table
+from skirmish.llm.common import delete_folder, shared_folder, table
 from skirmish.llm.decontamination import decontaminated
 from skirmish.llm.jaccard_join import one_of_each, similarity_classes
 from skirmish.llm.language import keep_identified, train
@@ -43,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The identifiers of each text and the digest of what they decode to."""
-    return encode_decode(docs, tokenizer_path(), ids=True).drop("decoded")
+    return encode_decode(docs, tokenizer_path(), ids=True, decoded=False)
 
 
 STAGES = [
@@ -59,13 +59,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again; what a stage
+    wrote goes when the next one has been written."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", ""
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete_folder(spark, before)
+        before = path
     return docs
 
 

@@ -275,7 +275,8 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     ``tokenizer`` is the path of the tokenizer file, at the same place on every machine.  Gives one
     row (doc_id, n_bytes, n_tokens) per input row, repeated rows and null ids included; a null text
-    counts as empty (0 bytes, 0 tokens).  An empty table gives no rows.  No shuffle.
+    counts as empty (0 bytes, 0 tokens).  An empty table gives no rows.  Texts are counted whole, of any
+    length; other columns, whatever their names, are not looked at.  No shuffle.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,14 +297,16 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
 
 def encode_decode(
-    df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False
+    df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = True
 ) -> DataFrame:
     """Every text as identifiers, by a segment tree of pair ranks, and decoded again.
 
     Gives one row per input row: doc_id, n_tokens, ids_sha256 (of the identifiers as little-endian
     unsigned 32-bit integers), decoded_sha256 (of the decoded text in UTF-8), and with ``ids`` also
-    the identifiers (array) and the decoded text.  A null text counts as empty: no tokens, and the
-    digests of nothing.  No shuffle.
+    the identifiers (array) and, if ``decoded``, the decoded text.  A null text counts as empty: no tokens,
+    and the digests of nothing.  Repeated rows are each encoded; an empty table gives no rows.  Texts are
+    encoded whole, of any length, by chunks that white space parts; other columns are not looked at.  No
+    shuffle.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,16 +320,17 @@ def encode_decode(
                 n.append(len(a))
                 first.append(hashlib.sha256(r).hexdigest())
                 second.append(hashlib.sha256(text.encode()).hexdigest())
-                if ids:
+                if ids and decoded:
                     texts.append(text)
             out = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64())}
             out |= {"ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())}
             if ids:
                 out["ids"] = pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32()))
+            if ids and decoded:
                 out["decoded"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded string" * ids
+    schema += ", ids array<int>" * ids + ", decoded string" * (ids and decoded)
     return map_texts(df, run, schema, doc_id=id_col, text=text_col)

@@ -201,7 +201,7 @@ def repetition_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_i
     twice or more in the text.  n_repeats: maximal repeated substrings of at least
     ``rules.least_words`` words; repeated_words: words inside any; longest_repeat: words of the
     longest.  A null or empty text has no words, so base_failed is true and kept is false.  Repeated
-    rows are judged each on their own.  No shuffle; texts are worked on in shards of a few MB (or
+    rows are judged each on their own; an empty table gives no rows; other columns are not looked at.  No shuffle; texts are worked on in shards of a few MB (or
     one text, if longer).
     """
 

@@ -463,3 +463,71 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     docs(spark, ["a"]).limit(0).drop("node", "signature").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_columns_and_long_texts_go_through_every_filter(spark):
+    """Columns named like the operators' own or like nothing SQL can read stay as they are."""
+    long = " ".join(f"w{k}" for k in range(40_000))
+    names = ["doc_id", "text", "_key", "row", "digest", "page-url", "a.b", "schema", "fn", "df"]
+    rows = [(k, t, *(f"{k}{c}" for c in names[2:])) for k, t in enumerate([long, long, long + " more", "short words", None, "", "other text entirely"])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'bigint' if c == 'doc_id' else 'string'}" for c in names))
+    df = df.union(df.filter("doc_id = 3"))
+    kept = jaccard_join.one_of_each(df, jaccard_join.similarity_classes(df, 80, 5))
+    assert kept.columns == names and sorted((x.doc_id, x["page-url"], x["a.b"]) for x in kept.collect()) == [(k, f"{k}page-url", f"{k}a.b") for k in (0, 3, 4, 5, 6)]
+    tests = spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15")], "item_id int, text string")
+    clean = decontamination.decontaminated(df, tests)
+    assert clean.columns == names and sorted(x.doc_id for x in clean.collect()) == [3, 3, 4, 5, 6]
+    assert secret_scan.redacted(df).columns == names and secret_scan.redacted(df).count() == 8
+    model = language.train(df.withColumn("lang", F.lit("x")))
+    told = language.keep_identified(df, model, 0.2)
+    assert told.columns == names and sorted(x.doc_id for x in told.collect()) == [0, 1, 2, 3, 3, 6]
+    found = {x.doc_id: x.n_hit for x in decontamination.contamination(df, tests).collect()}
+    assert found[0] == 11 and found[4] == 0
+
+
+def test_same_id_with_two_texts_loses_none(spark):
+    df = spark.createDataFrame([(5, "a b c d e f g"), (5, "h i j k l m n"), (3, "a b c d e f g"), (5, "h i j k l m n")], "doc_id bigint, text string")
+    kept = jaccard_join.one_of_each(df, jaccard_join.similarity_classes(df))
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == [(3, "a b c d e f g"), (5, "h i j k l m n")]
+
+
+def test_false_discovery_control_over_all_texts(spark):
+    """The level is that of Benjamini-Hochberg over the tokens of the whole table, each p-value rounded up."""
+    r = random.Random(21)
+    letters = secret_scan.ALPHABETS["base62"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(20, 60))) + " and thereafterwordsofalanguage " for _ in range(60)]
+    df = docs(spark, [*texts, None, ""])
+    levels = [x[2] for t in texts for x in secret_scan.tested(t, sorted(secret_scan.base_spans(t)))]
+    ordered = sorted((2.0 ** (-v / secret_scan.GRID), v) for v in levels)
+    passed = [k for k, (p, _) in enumerate(ordered, 1) if p <= secret_scan.RATE * k / len(ordered)]
+    want = ordered[passed[-1] - 1][1] if passed else secret_scan.TOP + 1
+    assert secret_scan.corpus_level(df) == want and passed
+    got = {x.doc_id: x.spans for x in secret_scan.secret_spans(df).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == secret_scan._joined(secret_scan.spans_of(t, want)[1])
+    assert secret_scan.corpus_level(df.limit(0)) == secret_scan.TOP + 1
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    r = random.Random(22)
+    text = " ".join("".join(r.choice(secret_scan.ALPHABETS["base62"]) for _ in range(32)) + " token=abcdef123" for _ in range(6000))
+    assert len(secret_scan.spans_of(text)[1]) > 6000
+
+
+def test_co_training_with_few_labels_and_all_the_rest(spark):
+    """Eight labels, four of each class, teach; every unlabelled document may be pseudo-labelled."""
+    r = random.Random(23)
+    good, bad = ["river", "house", "garden", "letter", "winter"], ["###", "$$$", "click", "buy", "!!!"]
+    texts = [" ".join(r.choice(good if k % 2 else bad) for _ in range(60)) for k in range(300)]
+    ids = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5 != 2]
+    chosen = [k for k in ids if k % 2][:4] + [k for k in ids if not k % 2][:4]
+    marks = spark.createDataFrame([(k, k % 2) for k in chosen], "doc_id bigint, quality int")
+    got = co_training.co_trained_scores(docs(spark, texts), marks).collect()
+    assert sum(x.kept == bool(x.doc_id % 2) for x in got) >= 285
+
+
+def test_steps_of_buckets_are_read_back():
+    rng = np.random.default_rng(4)
+    parts = [np.unique(rng.integers(0, co_training.WORDS, n)) for n in (0, 1, 5, 300, 5000)] + [np.array([0]), np.array([255, 510, 511])]
+    value, n = co_training.unsteps([co_training.steps(p) for p in parts])
+    assert n.tolist() == [len(p) for p in parts] and (value == np.concatenate(parts)).all()
