@@ -40,12 +40,13 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+def small_batches(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str]):
     """Hand batches of at most ``BATCH_ROWS`` rows to a step, so that a worker's memory is set by its longest
-    texts and not by the number of rows that happen to stand together."""
+    texts and not by the number of rows that happen to stand together; columns get their names here."""
 
     def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.rename_columns(names)
             for k in range(0, len(b), BATCH_ROWS):
                 yield b.slice(k, BATCH_ROWS)
 
@@ -60,8 +61,9 @@ def map_texts(
     **columns: str | Column,
 ) -> DataFrame:
     """``mapInArrow`` over the named columns only: name in the batch -> column of the input."""
-    picked = [(named(df, c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
-    return df.select(*picked).mapInArrow(small_batches(fn), schema)
+    # mapInArrow reads a dot in a name as a field, so the columns go by number
+    picked = [(named(df, c) if isinstance(c, str) else c).alias(f"c{k}") for k, c in enumerate(columns.values())]
+    return df.select(*picked).mapInArrow(small_batches(fn, list(columns)), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
