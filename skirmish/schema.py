@@ -9,7 +9,7 @@ from __future__ import annotations
 LOGS = "log_id string, build string, revision int, boss_id int"
 AGENTS = (
     "log_id string, addr bigint, prof bigint, is_elite bigint, toughness int, concentration int, healing int, "
-    "hitbox_width int, condition int, hitbox_height int, character string, account string, subgroup int"
+    "hitbox_width int, condition int, hitbox_height int, character string, account string, subgroup int, ord int"
 )
 SKILLS = "log_id string, id bigint, name string"
 EVENTS = (
