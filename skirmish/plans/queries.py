@@ -48,7 +48,13 @@ _HEAL = """
           LEFT JOIN owned w ON w.log_id = k.log_id AND w.seq = k.seq LEFT JOIN squad o ON o.log_id = k.log_id AND o.addr = w.owner LEFT JOIN roster t ON t.log_id = k.log_id AND t.addr = k.target
           WHERE (peer OR NOT any_peer) AND coalesce(s.rep, o.rep) IS NOT NULL)"""
 
-#: Casts and tracks, in SQL.
+#: The timeline by second, casts and tracks, in SQL.
+_TIMELINE = """
+        , what AS (SELECT log_id, time, 'd' AS w, dmg AS n FROM out_hits UNION ALL SELECT log_id, time, 'c', 1 FROM base WHERE cc AND s_rep IS NOT NULL AND de_rep IS NOT NULL
+          UNION ALL SELECT log_id, time, 'w', 1 FROM base WHERE is_statechange = 0 AND result = 9 AND s_rep IS NOT NULL AND de_rep IS NOT NULL UNION ALL SELECT log_id, time, 's', 1 FROM base WHERE remove_all AND boon AND d_rep IS NOT NULL AND se_rep IS NOT NULL),
+        sums AS (SELECT log_id, (time - t0) // 1000 AS bucket, w, sum(n) AS n FROM what JOIN bounds USING (log_id) GROUP BY 1, 2, 3),
+        timeline AS (SELECT g.log_id, g.bucket, CAST(coalesce(sum(n) FILTER (w = 'd'), 0) AS BIGINT) AS damage, CAST(coalesce(sum(n) FILTER (w = 'c'), 0) AS BIGINT) AS cc, CAST(coalesce(sum(n) FILTER (w = 'w'), 0) AS BIGINT) AS downs, CAST(coalesce(sum(n) FILTER (w = 's'), 0) AS BIGINT) AS strips
+        FROM (SELECT log_id, unnest(range(0, duration_ms // 1000 + 1)) AS bucket FROM bounds) g LEFT JOIN sums s ON s.log_id = g.log_id AND s.bucket = g.bucket GROUP BY 1, 2)"""
 _CASTS = """
         , i AS (SELECT b.log_id, s_rep AS rep, skillid, b.time - t0 AS at_ms, seq, CASE WHEN post_era THEN is_statechange = 68 ELSE is_activation BETWEEN 3 AND 6 END AS stop, CAST(value AS BIGINT) AS v, CAST(buff_dmg AS BIGINT) AS bd, is_activation AS code, duration_ms
           FROM base b JOIN bounds USING (log_id) WHERE s_rep IS NOT NULL AND CASE WHEN post_era THEN is_statechange IN (67, 68) ELSE is_statechange = 0 AND is_activation BETWEEN 1 AND 6 END),
@@ -214,12 +220,8 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "running_healing_extension": (support.running_healing_extension, _HEAL + """
         , seen AS (SELECT g.log_id, healer AS addr FROM g WHERE peer UNION SELECT g.log_id, target FROM g JOIN combat c ON c.log_id = g.log_id AND c.seq = g.seq WHERE c.is_offcycle & 64 <> 0)
         SELECT seen.log_id, seen.addr FROM seen SEMI JOIN squad ON squad.log_id = seen.log_id AND squad.addr = seen.addr"""),
-    "squad_timeline": (lambda f: series.squad_timeline(f, 100000), """
-        , what AS (SELECT log_id, time, 'd' AS w, dmg AS n FROM out_hits UNION ALL SELECT log_id, time, 'c', 1 FROM base WHERE cc AND s_rep IS NOT NULL AND de_rep IS NOT NULL
-          UNION ALL SELECT log_id, time, 'w', 1 FROM base WHERE is_statechange = 0 AND result = 9 AND s_rep IS NOT NULL AND de_rep IS NOT NULL UNION ALL SELECT log_id, time, 's', 1 FROM base WHERE remove_all AND boon AND d_rep IS NOT NULL AND se_rep IS NOT NULL),
-        sums AS (SELECT log_id, (time - t0) // 100000 AS bucket, w, sum(n) AS n FROM what JOIN bounds USING (log_id) GROUP BY 1, 2, 3)
-        SELECT g.log_id, g.bucket, CAST(coalesce(sum(n) FILTER (w = 'd'), 0) AS BIGINT) AS damage, CAST(coalesce(sum(n) FILTER (w = 'c'), 0) AS BIGINT) AS cc, CAST(coalesce(sum(n) FILTER (w = 'w'), 0) AS BIGINT) AS downs, CAST(coalesce(sum(n) FILTER (w = 's'), 0) AS BIGINT) AS strips
-        FROM (SELECT log_id, unnest(range(0, duration_ms // 100000 + 1)) AS bucket FROM bounds) g LEFT JOIN sums s ON s.log_id = g.log_id AND s.bucket = g.bucket GROUP BY 1, 2"""),
+    "squad_timeline": (series.squad_timeline, _TIMELINE + """
+        SELECT * FROM timeline"""),
     "cumulative_damage": (lambda f: series.cumulative_damage(f, 1000), """
         SELECT log_id, rep, bucket, CAST(sum(dmg) OVER (PARTITION BY log_id, rep ORDER BY bucket) AS BIGINT) AS damage FROM (
           SELECT log_id, rep, (time - t0) // 1000 + CASE WHEN (time - t0) % 1000 <> 0 THEN 1 ELSE 0 END AS bucket, sum(dmg) AS dmg FROM out_hits JOIN bounds USING (log_id) GROUP BY 1, 2, 3)"""),
@@ -229,7 +231,9 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
     "entity_series": (lambda f: series.entity_series(f, 1000), """
         SELECT log_id, rep, (time - t0) // 1000 AS bucket, CAST(sum(a) AS BIGINT) AS cc_applied, CAST(sum(t) AS BIGINT) AS cc_taken FROM (
           SELECT log_id, time, s_rep AS rep, 1 AS a, 0 AS t FROM base WHERE cc AND s_rep IS NOT NULL AND de_rep IS NOT NULL UNION ALL SELECT log_id, time, d_rep, 0, 1 FROM base WHERE cc AND d_rep IS NOT NULL) JOIN bounds USING (log_id) GROUP BY 1, 2, 3"""),
-    "encoded_series": (_coded, None),
+    "encoded_series": (_coded, _TIMELINE + """
+        , r AS (SELECT log_id, bucket, downs, sum(CASE WHEN was IS DISTINCT FROM downs THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY bucket) AS run FROM (SELECT *, lag(downs) OVER (PARTITION BY log_id ORDER BY bucket) AS was FROM timeline))
+        SELECT log_id, downs, min(bucket) AS first, count(*) AS length FROM r GROUP BY log_id, run, downs"""),
     "health_steps": (series.health_steps, """
         , h AS (SELECT b.log_id, s_rep AS rep, time, seq, least(dst_agent, 10000) AS health, t0, t1, row_number() OVER (PARTITION BY b.log_id, s_rep ORDER BY time, seq) AS rn FROM base b JOIN bounds USING (log_id) WHERE is_statechange = 8 AND s_rep IS NOT NULL),
         g AS (SELECT log_id, rep, t0, t1, CASE WHEN rn = 1 THEN t0 ELSE time END AS at_ms, arg_max(health, seq) AS health FROM h GROUP BY 1, 2, 3, 4, 5),
@@ -291,5 +295,12 @@ _ALL: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {
         SELECT log_id, rep, t, n FROM (SELECT *, lag(n) OVER (PARTITION BY log_id, rep ORDER BY t) AS was FROM r) WHERE was IS DISTINCT FROM n"""),
 }
 
+#: The summary is the outer join of tables that have SQL of their own.
+_PARTS = ("squad_damage", "damage_taken", "downs_and_kills", "cleanses_and_strips")
+_SUMS = ("damage", "pet_damage", "hits", "dps", "damage_taken", "downs_dealt", "kills_dealt", "downs_taken", "deaths", "cleanses", "cleanses_self", "cleanses_minions", "strips")
+_ALL["summary"] = (report.summary, f"""
+        SELECT log_id, rep, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _SUMS)} FROM (SELECT DISTINCT log_id, rep FROM squad)
+        {" ".join(f"LEFT JOIN ({_ALL[x][1]}) {x}_part USING (log_id, rep)" for x in _PARTS)}""")
+
 QUERIES = {name: _of(operator) for name, (operator, _) in _ALL.items()}
 ORACLES = {name: PRELUDE + sql for name, (_, sql) in _ALL.items() if sql}
