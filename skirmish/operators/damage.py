@@ -101,37 +101,40 @@ def hit_stats(f: Frames) -> DataFrame:
     """Quality of the squad's own hits on enemies, zero damage included."""
     rows = f.events.filter(is_combat_row()).filter(connected()).withColumn("dmg", damage())
     rows = rows.join(f.side("squad", "src"), ["log_id", "src_agent"]).join(f.side("enemy", "dst"), ["log_id", "dst_agent"], "left_semi")
-    d, cond = F.col("dmg"), is_condition()
-    power, direct, crit = ~cond, direct_hit(), F.col("result") == Result.CRIT
-    leech, high = leech_hit(), F.col("is_ninety") != 0
-    return rows.groupBy("log_id", F.col("src_rep").alias("rep")).agg(
+    # each flag is worked out once a row, not once an aggregate
+    cond = is_condition()
+    rows = rows.select(
+        "log_id", F.col("src_rep").alias("rep"), "dmg", cond.alias("cond"), (~cond & direct_hit()).alias("direct"), (~cond & direct_hit() & can_be_critical()).alias("critable"),
+        (F.col("result") == Result.CRIT).alias("crit"), (F.col("result") == Result.GLANCE).alias("glance"), (~cond & leech_hit()).alias("leech"),
+        (F.col("is_ninety") != 0).alias("high"), (F.col("is_flanking") != 0).alias("flank"), against_downed().alias("down"), (F.col("is_moving").bitwiseAND(2) != 0).alias("moving"),
+    )
+    d, c = F.col("dmg"), F.col
+    return rows.groupBy("log_id", "rep").agg(
         F.count("*").alias("connected_count"), F.sum(d).alias("connected_damage"),
-        count_if(cond).alias("condition_count"), sum_if(cond, d).alias("condition_damage"),
-        count_if(power & direct).alias("direct_count"), sum_if(power & direct, d).alias("direct_damage"),
-        count_if(power & direct & can_be_critical()).alias("critable_count"),
-        count_if(power & direct & can_be_critical() & crit).alias("crit_count"), sum_if(power & direct & can_be_critical() & crit, d).alias("crit_damage"),
-        count_if(power & direct & (F.col("is_flanking") != 0)).alias("flank_count"), count_if(power & direct & (F.col("result") == Result.GLANCE)).alias("glance_count"),
-        count_if(power & leech).alias("leech_count"), sum_if(power & leech, d).alias("leech_damage"),
-        count_if(power & high).alias("above90_power_count"), sum_if(power & high, d).alias("above90_power_damage"),
-        count_if(cond & high).alias("above90_condition_count"), sum_if(cond & high, d).alias("above90_condition_damage"),
-        count_if(against_downed()).alias("downed_count"), sum_if(against_downed(), d).alias("downed_damage"),
-        count_if(F.col("is_moving").bitwiseAND(2) != 0).alias("moving_count"),
+        count_if(c("cond")).alias("condition_count"), sum_if(c("cond"), d).alias("condition_damage"),
+        count_if(c("direct")).alias("direct_count"), sum_if(c("direct"), d).alias("direct_damage"), count_if(c("critable")).alias("critable_count"),
+        count_if(c("critable") & c("crit")).alias("crit_count"), sum_if(c("critable") & c("crit"), d).alias("crit_damage"),
+        count_if(c("direct") & c("flank")).alias("flank_count"), count_if(c("direct") & c("glance")).alias("glance_count"),
+        count_if(c("leech")).alias("leech_count"), sum_if(c("leech"), d).alias("leech_damage"),
+        count_if(~c("cond") & c("high")).alias("above90_power_count"), sum_if(~c("cond") & c("high"), d).alias("above90_power_damage"),
+        count_if(c("cond") & c("high")).alias("above90_condition_count"), sum_if(c("cond") & c("high"), d).alias("above90_condition_damage"),
+        count_if(c("down")).alias("downed_count"), sum_if(c("down"), d).alias("downed_damage"), count_if(c("moving")).alias("moving_count"),
     )
 
 
 def defenses(f: Frames) -> DataFrame:
     """What came at the squad: outcomes, and damage taken by kind and by barrier."""
-    rows = f.events.filter(is_combat_row() & (F.col("result") != Result.CROWD_CONTROL)).withColumn("o", outcome()).filter("o is not null")
-    rows = rows.join(f.side("squad", "dst"), ["log_id", "dst_agent"]).withColumn("dmg", damage()).withColumn("kind", hit_kind())
-    hit, d = F.col("o") == "hit", F.col("dmg")
+    rows = f.events.filter(is_combat_row() & (F.col("result") != Result.CROWD_CONTROL)).withColumn("dmg", damage())
+    rows = rows.join(f.side("squad", "dst"), ["log_id", "dst_agent"])
+    rows = rows.select("log_id", F.col("dst_rep").alias("rep"), "dmg", outcome().alias("o"), hit_kind().alias("kind"), barrier_part().alias("shield")).filter("o is not null")
+    hit, d, shield = F.col("o") == "hit", F.col("dmg"), F.col("shield")
     kind = lambda *names: hit & F.col("kind").isin(*names)
     columns = []
     for name, which in (("strike", ("strike",)), ("power", ("strike", "leech", "power")), ("condition", ("condition",)), ("leech", ("leech",))):
         columns += [count_if(kind(*which)).alias(f"{name}_count"), sum_if(kind(*which), d).alias(f"{name}_damage")]
-    shield = barrier_part()
     columns += [count_if(hit & (shield > 0)).alias("barrier_count"), sum_if(hit & (shield > 0), shield).alias("barrier_damage")]
     columns += [count_if(F.col("o") == o).alias(f"{o}_count") for o in ("blocked", "evaded", "missed", "invulned", "interrupted")]
-    return rows.groupBy("log_id", F.col("dst_rep").alias("rep")).agg(*columns)
+    return rows.groupBy("log_id", "rep").agg(*columns)
 
 
 def breakbar_and_control_taken(f: Frames) -> DataFrame:

@@ -109,18 +109,23 @@ def test_down_and_dead_intervals(spark):
     assert rows(series.active_time(f), "rep", "active_ms") == [(SQUAD, 40), (MATE, 60)]
 
 
-def test_tracks_lie_on_the_line(spark):
-    at = lambda t, x: mark(t, State.POSITION, x=float(x), y=0.0, z=0.0)
+def test_tracks_hold_until_a_position_changes(spark):
+    """An agent stays until 300 ms before its next position, or 1 ms before a teleport; the grid runs from the
+    first row to the first tick at or after the last position."""
+    at = lambda t, x, s=State.POSITION: mark(t, s, x=float(x), y=0.0, z=0.0)
     f = fight(spark, [hit(0), at(0, 0), at(600, 60), at(1000, 60)])
-    assert rows(series.tracks(f), "t_ms", "x") == [(0, 0.0), (300, 30.0), (600, 60.0), (900, 60.0)]
+    assert rows(series.tracks(f), "t_ms", "x") == [(0, 0.0), (300, 0.0), (600, 60.0), (900, 60.0), (1200, 60.0)]
+    f = fight(spark, [hit(0), at(400, 10), at(1000, 70), at(1350, 900, State.TELEPORT)])
+    assert rows(series.tracks(f), "t_ms", "x") == [(0, 10.0), (300, 10.0), (600, 10.0), (900, 50.0), (1200, 70.0), (1500, 900.0)]
 
 
 def test_registered_tracks_and_series_have_the_default_steps(spark):
-    f = fight(spark, [mark(0, State.POSITION, x=0.0, y=0.0, z=0.0), mark(6000, State.POSITION, x=600.0, y=0.0, z=0.0), mark(0, State.POSITION, src=MATE, x=0.0, y=0.0, z=0.0), mark(6000, State.POSITION, src=MATE, x=0.0, y=0.0, z=0.0), hit(2500, result=Result.DOWNED), hit(6000)])
+    walk = [mark(t, State.POSITION, src=who, x=t / 10 * (who == SQUAD), y=0.0, z=float(t)) for t in range(0, 6001, 300) for who in (SQUAD, MATE)]
+    f = fight(spark, [*walk, hit(0, src=MATE), hit(2500, result=Result.DOWNED), hit(6000)])
     got = {(r.rep, r.t_ms): r.x for r in queries._ALL["tracks"][0](f).collect()}
     want = {(who, t): t / 10 * (who == SQUAD) for who in (SQUAD, MATE) for t in range(0, 6001, 300)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
-    mean = sum(t / 20 for t in range(0, 6001, 300)) / 21
+    mean = sum(t / 20 for t in range(0, 6000, 300)) / 20  # the log's last tick has no centre
     assert [r.distance for r in queries._ALL["distance_to_centre"][0](f).collect()] == [pytest.approx(mean, abs=1e-3)] * 2
     runs = sorted((r.first, r.length, r.downs) for r in queries._ALL["encoded_series"][0](f).collect())
     assert [v for first, n, v in runs for _ in range(n)] == [0, 0, 1, 0, 0, 0, 0]
@@ -263,3 +268,15 @@ def test_report_tells_what_it_covers(spark, tmp_path):
     assert got.coverage["damage"] == "present" and got.coverage["missiles"] == "empty" and got.coverage["boons"] == "not_computed"
     report.write_csv(f, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).filter("damage = 200").count() == 1
+
+
+def test_the_stored_view_is_scanned_as_plain_columns(spark):
+    """Operators are planned over the stored table: no JSON, and few scans of it."""
+    from skirmish.operators import damage as d
+    from skirmish.plans.stand_in import frames
+
+    f = frames(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for operator, most in ((d.hit_stats, 1), (d.defenses, 1), (d.squad_damage, 2), (d.skill_damage, 2)):
+        text = plan(operator(f))
+        assert "get_json_object" not in text and text.count("is_buffremove") and sum("event" in x or "is_statechange#" in x for x in text.splitlines() if "Relation" in x) <= most
