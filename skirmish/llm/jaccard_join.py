@@ -19,7 +19,7 @@ exactly on the sets.  Features and nodes are 64-bit digests.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -120,10 +120,10 @@ class Scheme:
         self.cells = cells or (2 if 100 + percent >= 16 * (100 - percent) else 4)
         self.percent, self.slack = percent, self.cells // 2 if slack is None else slack
         cells, slack = self.cells, self.slack
-        #: Signatures are dealt in so many passes over the texts, each of two turns.  A set signs for one band
-        #: or two neighbours, so in a turn for one.
-        self.passes = 1 if cells == 2 else 2
-        self.turns = 2 * self.passes
+        #: The turns of each pass over the texts, in which signatures are dealt: the more signatures, the fewer at
+        #: once.  A set signs for one band or two neighbours, so in a turn for one.
+        self.passes = [[0, 1]] if cells == 2 else [[0], [1], [2], [3]]
+        self.turns = sum(map(len, self.passes))
         #: Each band is wide enough for a set's partners to lie in it or the next.
         wider = max(1.5, 100 / percent * 1.05)
         self.edges = [1]
@@ -373,7 +373,7 @@ def _members(docs: DataFrame, scheme: Scheme, size: int, text_col: str, turns: l
 
 def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between nodes, enough of them to connect all that are connected."""
-    passes = [_members(docs, scheme, size, text_col, [2 * k, 2 * k + 1]) for k in range(scheme.passes)]
+    passes = [_members(docs, scheme, size, text_col, turns) for turns in scheme.passes]
     member = passes[0]
     for more in passes[1:]:
         member = member.union(more)
@@ -392,12 +392,12 @@ def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -
         return links
 
     # each node against the ends of its group, and of the parts of the group with an equal piece of the sketch
-    pieces = member.join(whole.select("node", "short"), "node")
-    pieces = pieces.select("signature", "node", F.posexplode(F.array(F.lit(0).cast("bigint"), *(F.col("short")[k] for k in range(SHORT_LONGS)))).alias("k", "piece"))
-    ends = pieces.groupBy("signature", "k", "piece").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    ends = pieces.join(ends, ["signature", "k", "piece"])
-    pairs = ends.select(F.col("low").alias("a"), F.col("node").alias("b")).union(ends.select("node", "high")).filter("a < b")
-    first = verified(pairs)
+    pairs = [_ends(member.select("signature", "node"), ["signature"])]
+    for k in range(SHORT_LONGS):
+        part = member.select("signature", "node").join(whole.select("node", F.col("short")[k].alias("piece")), "node")
+        pairs.append(_ends(part, ["signature", "piece"]))
+    first = verified(reduce(DataFrame.union, pairs))
+    drop(*pairs)
     # a signature whose members are all in one component has nothing left to find
     where = member.select("signature", "node").join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
     where = cut(where)
@@ -413,6 +413,13 @@ def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -
     return first.union(second)
 
 
+def _ends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (a, b) of each node with the smallest and the largest of its group."""
+    ends = rows.join(rows.groupBy(*keys).agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), keys)
+    pairs = ends.select(F.col("low").alias("a"), F.col("node").alias("b")).union(ends.select("node", "high")).filter("a < b")
+    return cut(pairs.distinct())
+
+
 def _sets_of(docs, nodes, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """The sets of some nodes, made again from one text each; most texts share no signature."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
