@@ -8,7 +8,8 @@ own take that of the nearest ancestor directory that has one.  Directories are r
 files join them, so a directory with a large part of all files costs one row.
 
 A unit can only reach the least cosine with a template if it holds a cue of it: the terms beyond a template's
-cues weigh too little together.  Texts without any cue are left after one scan.
+cues weigh too little together.  Cues are the terms that the texts themselves, counted first, have least
+often; texts without any cue are left after the second scan.  Which terms are cues never changes a result.
 """
 
 from __future__ import annotations
@@ -149,16 +150,17 @@ def _weights(templates: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return idf, w, log(1.0 + n) + 1.0
 
 
-def cues(weights: DataFrame, idf: DataFrame, least_cosine: float) -> list[str]:
+def cues(weights: DataFrame, seen: dict[str, int], least_cosine: float) -> list[str]:
     """Terms of which any unit near a template has one: without them the squares of the template's weights add
-    up to less than the square of the least cosine.  Of each template the rarest terms, then the longest."""
+    up to less than the square of the least cosine.  Of each template the terms that are ``seen`` least often
+    for their weight."""
     by: dict[int, list] = {}
-    for r in weights.join(F.broadcast(idf), "term").collect():
-        by.setdefault(r.template, []).append((-r.idf, -len(r.term), r.term, r.w))
+    for r in weights.collect():
+        by.setdefault(r.template, []).append((seen.get(r.term, 0) / r.w**2, r.term, r.w))
     out = set()
     for terms in by.values():
         left = sum(w * w for *_, w in terms)
-        for _, _, term, w in sorted(terms):
+        for _, term, w in sorted(terms):
             if left < 0.999 * least_cosine**2:
                 break
             out.add(term)
@@ -192,11 +194,15 @@ def licence_scan(
     spark = files.sparkSession
     idf, weight, unknown = _weights(templates_frame(spark) if templates is None else templates)
     idf, weight = cut(idf), cut(weight)
-    cue = F.array(*map(F.lit, cues(weight, idf, least_cosine))).cast("array<string>")
     rows = files.select(named(files, id_col).alias("doc_id"), F.coalesce(named(files, path_col), F.lit("")).alias("path"), named(files, text_col).alias("text"))
     file = F.xxhash64("doc_id", "path").alias("file")
+    seen = rows.select(F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(idf), "term").groupBy("term").count()
+    cue = F.array(*map(F.lit, cues(weight, {r["term"]: r["count"] for r in seen.collect()}, least_cosine))).cast("array<string>")
     noted = cut(rows.filter(F.arrays_overlap(_terms(F.col("text")), cue)).select(file, F.regexp_replace("text", MARKS, "").alias("text")))
-    parts = F.array(F.array("text"), F.split("text", BLANK_LINES), F.split("text", "\n"))
+    # blocks that are the whole text, and lines that are the blocks, would only repeat them
+    blocks, lines = F.split("text", BLANK_LINES), F.split("text", "\n")
+    none = F.array().cast("array<string>")
+    parts = F.array(F.array("text"), F.when(F.size(blocks) > 1, blocks).otherwise(none), F.when(F.size(lines) > F.size(blocks), lines).otherwise(none))
     units = noted.select("file", F.posexplode(parts).alias("kind", "of")).select("file", "kind", F.posexplode("of").alias("unit", "text"))
     units = units.select("file", "kind", "unit", _terms(F.col("text")).alias("terms")).filter(F.arrays_overlap("terms", cue))
     tf = units.select("file", "kind", "unit", F.explode("terms").alias("term"))
