@@ -19,7 +19,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, named
+from .common import cut, drop, named
 
 # Licence names, and notices and texts as they stand in headers and licence files.
 IDENTIFIERS = (
@@ -207,7 +207,8 @@ def licence_scan(
     units = units.select("file", "kind", "unit", _terms(F.col("text")).alias("terms")).filter(F.arrays_overlap("terms", cue))
     tf = units.select("file", "kind", "unit", F.explode("terms").alias("term"))
     tf = tf.groupBy("file", "kind", "unit", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "term", "left")
-    tf = tf.withColumn("u", (F.log(F.col("tf")) + 1.0) * F.coalesce("idf", F.lit(unknown)))
+    tf = cut(tf.withColumn("u", (F.log(F.col("tf")) + 1.0) * F.coalesce("idf", F.lit(unknown))))
+    drop(noted)
     key = ["file", "kind", "unit"]
     norm = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"))
     dot = tf.filter("idf is not null").join(F.broadcast(weight), "term").groupBy(*key, "template", "licence")
