@@ -45,8 +45,9 @@ FROM (
   )
 )"""
 
+# DuckDB's epoch_ms rounds to the nearest millisecond, so the last half millisecond of a second is the next one's
 _DIALECTS = {
-    "spark": {"days": "(time div 864000)", "seconds": "(CAST(datediff(to_date(ts), DATE '1970-01-01') AS BIGINT) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + CAST(floor(second(ts)) AS BIGINT))", "k": "CAST(get_json_object(props, '$.k') AS BIGINT)"},
+    "spark": {"days": "(time div 864000)", "seconds": "(CAST(round((CAST(datediff(to_date(ts), DATE '1970-01-01') AS BIGINT) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + extract(SECOND FROM ts)) * 1000) AS BIGINT) div 1000)", "k": "CAST(get_json_object(props, '$.k') AS BIGINT)"},
     "duckdb": {"days": "(time // 864000)", "seconds": "(epoch_ms(ts) // 1000)", "k": "CAST(json_extract_string(props, '$.k') AS BIGINT)"},
 }
 

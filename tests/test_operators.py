@@ -280,3 +280,18 @@ def test_the_stored_view_is_scanned_as_plain_columns(spark):
     for operator, most in ((d.hit_stats, 1), (d.defenses, 1), (d.squad_damage, 2), (d.skill_damage, 2)):
         text = plan(operator(f))
         assert "get_json_object" not in text and text.count("is_buffremove") and sum("event" in x or "is_statechange#" in x for x in text.splitlines() if "Relation" in x) <= most
+
+
+def test_the_view_takes_seconds_as_its_sql_does(spark, tmp_path):
+    """DuckDB's milliseconds are rounded, half away from zero, so 13.9996 s lies in second 14."""
+    import duckdb
+
+    from skirmish.plans.stand_in import PRELUDE, frames
+
+    times = ["2024-01-01 15:34:13.999921", "2024-01-01 15:34:13.9995", "2024-01-01 15:34:13.999499", "2024-01-31 23:59:59.9996", "1969-12-31 23:59:58.9995", "1969-12-31 23:59:58.0005", "1969-12-31 23:59:59.9996"]
+    values = ", ".join(f"({k}, timestamp '{t}', {2 + 6 * k}, 'error', 12.5, '{{\"k\": 9}}')" for k, t in enumerate(times))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {values}) e(event_id, ts, user_id, event_type, value, props)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    expected = con.execute(PRELUDE + "SELECT seq, time FROM combat ORDER BY seq").fetchall()
+    assert rows(frames(spark, str(tmp_path)).events, "seq", "time") == expected
