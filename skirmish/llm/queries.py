@@ -35,7 +35,7 @@ def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_classes(table(spark, sf_dir, "documents"))
+    return similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

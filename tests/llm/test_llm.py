@@ -177,6 +177,20 @@ def test_classes_of_odd_and_no_rows(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [0, 5]
 
 
+def test_the_join_query_gives_its_sqls_columns_and_rows(spark):
+    import duckdb
+
+    from skirmish.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    found = con.execute(ORACLES["op3_jaccard_join"])
+    names = [c[0] for c in found.description]
+    got = QUERIES["op3_jaccard_join"](spark, "/root/testdata/sf0.001")
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
