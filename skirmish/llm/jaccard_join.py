@@ -33,6 +33,8 @@ from .common import cut, drop, map_texts, named, raw_texts, shards
 
 #: Groups beyond those that a link needs to share one signature.
 SPARE = 2
+#: Of the groups that a link needs, with four cells a group, one in so many is added (``SPARE`` at least).
+SPARE_PART = 4
 #: Bits of the filter that keeps texts without a shared signature from being shuffled.
 FILTER_BITS = 1 << 24
 #: Nodes that a task remembers so as not to give the signatures of equal texts again.
@@ -124,6 +126,9 @@ class Scheme:
         #: once.  A set signs for one band or two neighbours, so in a turn for one.
         self.passes = [[0, 1]] if cells == 2 else [[0], [1], [2], [3]]
         self.turns = sum(map(len, self.passes))
+        #: A part of the groups in addition, so that sets that link share a good part of their signatures, and large
+        #: sets that only quote the same passages fall away before they are paired.
+        self.spare = 1 << 40 if cells == 2 else SPARE_PART
         #: Each band is wide enough for a set's partners to lie in it or the next.
         wider = max(1.5, 100 / percent * 1.05)
         self.edges = [1]
@@ -152,7 +157,8 @@ class Scheme:
         """(K, groups) of a band."""
         top = self.edges[band + 1] - 1
         k = self.most_apart(top + top * 100 // self.percent)
-        return k, -(-(k + 1) // (self.slack + 1)) + SPARE
+        needed = -(-(k + 1) // (self.slack + 1))
+        return k, needed + max(SPARE, needed // self.spare)
 
     @lru_cache(maxsize=256)
     def least_shared(self, band: int) -> int:

@@ -152,6 +152,25 @@ def test_signatures_are_shared_by_all_that_link():
                 assert any(n >= need for n, need in common if n)
 
 
+def test_large_texts_that_quote_one_passage_are_not_paired(spark, monkeypatch):
+    """Forty texts of which a quarter is the same passage: their pairs (780) must not be written out, and no link is lost."""
+    passage = " ".join(f"p{k}" for k in range(300))
+    texts = [passage + " " + " ".join(f"w{d}x{k}" for k in range(900)) for d in range(40)]
+    texts += [texts[7] + " and a little more", " ".join(texts[9].split()[30:])]
+    cut, pairs = jaccard_join.cut, []
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    got = {x.doc_id: x.component_id for x in jaccard_join.similarity_classes(docs(spark, texts), 80, 5).collect()}
+    assert got == {k: k for k in range(40)} | {40: 7, 41: 9}
+    assert max(pairs) <= 3 * len(texts)
+
+
 def test_shingles_are_those_of_the_words():
     r = random.Random(7)
     texts = ["", " ", "a", "A b", "\t a\n\x0b\x0cb \r\x1c c", "é É x", "x" * 70_000 + " y z w", *(" ".join(r.choice("aBc\u00e9") * r.randint(1, 3) for _ in range(r.randint(0, 30))) for _ in range(200))]
