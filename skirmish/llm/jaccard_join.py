@@ -11,7 +11,8 @@ link needs can't link, so it goes, and with it what only it shared, until nothin
 passage that many documents quote leaves next to nothing.  What stays is linked in two steps, so that a
 group of copies never becomes all its pairs: first each node against the two ends of its group, and of
 the parts of the group that agree in a piece of a parity sketch; then, only where a signature's nodes
-still lie in several components, against the nodes of the others.  The sketch, whose distance never
+still lie in several components, against the nodes of the others, by the rarest signatures that a link
+must share one of.  The sketch, whose distance never
 exceeds the symmetric difference, rejects inside the joins what cannot link; what remains is checked
 exactly on the sets.  Features and nodes are 64-bit digests.
 """
@@ -25,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -41,8 +42,10 @@ FILTER_BITS = 1 << 24
 REMEMBERED_NODES = 200_000
 #: Longs of a parity sketch at most.
 SKETCH_LONGS = 64
-#: Longs of the sketch that goes with each signature where components are compared.
+#: Pieces of the sketch by which parts of a group are found.
 SHORT_LONGS = 4
+#: Longs at most of the sketch that goes with each signature where components are compared.
+SIDE_LONGS = 16
 #: Parts into which the edges of a node are dealt, so that the centre of a star is no task of its own.
 PARTS = 32
 #: Bytes of texts whose words are digested at once.
@@ -311,6 +314,12 @@ def _apart(a: str, b: str) -> str:
 #: SQL: the k-th of SHORT_LONGS longs onto which a sketch is folded.
 _FOLDED = f"aggregate(sequence(0, cast(size(sketch) div {SHORT_LONGS} as int) - 1), 0L, (s, j) -> s ^ element_at(sketch, k + j * {SHORT_LONGS}))"
 
+#: SQL: a sketch folded to SIDE_LONGS, if it is longer.
+_SIDE = (
+    f"transform(sequence(1, least(size(sketch), {SIDE_LONGS})), k -> aggregate(sequence(0, greatest(size(sketch) div {SIDE_LONGS}, 1) - 1), 0L,"
+    f" (s, j) -> s ^ element_at(sketch, cast(k + j * {SIDE_LONGS} as int))))"
+)
+
 
 def _may_link(scheme: Scheme) -> str:
     """SQL on x and y with n and sketch: false only if they cannot link."""
@@ -405,10 +414,11 @@ def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -
     first = verified(reduce(DataFrame.union, pairs))
     drop(*pairs)
     # a signature whose members are all in one component has nothing left to find
-    where = member.select("signature", "node").join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    where = member.join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
     where = cut(where)
     left = where.groupBy("signature").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p < q").select("signature")
-    side = cut(where.join(left, "signature", "left_semi").join(whole.select("node", "n", F.col("short").alias("sketch")), "node"))
+    side = _foremost(where.join(left, "signature", "left_semi"))
+    side = cut(side.join(whole.select("node", "n", F.expr(_SIDE).alias("sketch")), "node"))
     drop(where, *passes)
     across = side.alias("x").join(side.alias("y"), F.expr(
         f"x.signature = y.signature and x.label < y.label and {_may_link(scheme)}"
@@ -419,6 +429,17 @@ def _links(docs, nodes, scheme: Scheme, size: int, id_col: str, text_col: str) -
     return first.union(second)
 
 
+def _foremost(rows: DataFrame) -> DataFrame:
+    """(signature, node, label): of the signatures of a node and turn those that must hold one that it shares with
+    each node it links with.  Of n signatures, a link shares ``least``; in one order for all nodes, the rarest
+    first, the first of the shared ones has ``least - 1`` others behind it, so it is among the first
+    n - least + 1 of both.  A node with fewer than ``least`` has none."""
+    sizes = rows.groupBy("signature").agg(F.count("*").alias("size"))
+    own = Window.partitionBy("node", "turn")
+    rows = rows.join(sizes, "signature").withColumn("n", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("size", "signature")))
+    return rows.filter("place <= n - least + 1").select("signature", "node", "label")
+
+
 def _ends(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs (a, b) of each node with the smallest and the largest of its group."""
     ends = rows.join(rows.groupBy(*keys).agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), keys)

@@ -171,6 +171,29 @@ def test_large_texts_that_quote_one_passage_are_not_paired(spark, monkeypatch):
     assert max(pairs) <= 3 * len(texts)
 
 
+def test_foremost_signatures_lose_no_link_and_leave_few_pairs(spark):
+    """Nodes that link share ``least`` signatures: one is among the foremost of both.  A signature that all share goes."""
+    r = random.Random(3)
+    sets = {node: {0, *r.sample(range(1, 60), 12)} for node in range(30)} | {node: {0, node * 100} for node in range(100, 140)}
+    table = spark.createDataFrame([(s, node, 0, 6, node) for node, own in sets.items() for s in own], "signature long, node long, turn int, least int, label long")
+    got = {}
+    for x in jaccard_join._foremost(table).collect():
+        got.setdefault(x.node, set()).add(x.signature)
+    assert set(got) == set(range(30)) and all(0 not in own for own in got.values())
+    assert all(got[a] & got[b] for a in got for b in got if a < b and len(sets[a] & sets[b]) >= 6)
+
+
+def test_sketches_beside_signatures_keep_their_bound(spark):
+    """Folded to at most SIDE_LONGS, whatever their length: never farther apart than the sets."""
+    r, scheme = random.Random(8), jaccard_join.Scheme(80)
+    base = np.array([r.getrandbits(64) for _ in range(1500)], np.uint64)
+    sets = [np.unique(base[: r.randint(20, 1500)]) for _ in range(12)]
+    made = spark.createDataFrame([(k, scheme.sketch(f).tolist()) for k, f in enumerate(sets)], "k int, sketch array<long>").selectExpr("k", f"{jaccard_join._SIDE} as sketch")
+    apart = made.alias("x").crossJoin(made.alias("y")).selectExpr("x.k as a", "y.k as b", f"{jaccard_join._apart('x.sketch', 'y.sketch')} as d", "size(x.sketch) as longs").collect()
+    assert {x.longs for x in apart} <= {8, 16}
+    assert all(x.d <= len(np.setxor1d(sets[x.a], sets[x.b])) and (x.d == 0) == (x.a == x.b or len(sets[x.a]) == len(sets[x.b])) for x in apart)
+
+
 def test_shingles_are_those_of_the_words():
     r = random.Random(7)
     texts = ["", " ", "a", "A b", "\t a\n\x0b\x0cb \r\x1c c", "é É x", "x" * 70_000 + " y z w", *(" ".join(r.choice("aBc\u00e9") * r.randint(1, 3) for _ in range(r.randint(0, 30))) for _ in range(200))]
