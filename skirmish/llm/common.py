@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +16,9 @@ from pyspark.sql.types import StructType
 #: Rows in an Arrow batch at most, and the text bytes that one step of an operator looks at.
 BATCH_ROWS = 1000
 SHARD_BYTES = 8 << 20
+#: Bytes of an Arrow batch that Spark sends to a worker, beyond which the next row begins another.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +54,28 @@ def small_batches(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBat
             for k in range(0, len(b), BATCH_ROWS):
                 yield b.slice(k, BATCH_ROWS)
 
-    return lambda batches: fn(cut_up(batches))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(cut_up(batches))
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those at work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not in this C library
+        pass
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends batches of about ``BATCH_BYTES`` to its workers, or smaller ones if it did.
+    For plans that the caller runs; ``cut`` bounds its own."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
 def map_texts(
@@ -75,8 +100,8 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Lets Spark delete an action's shuffle files as the action ends.
-_FREE = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+#: Lets Spark delete an action's shuffle files as the action ends, and bounds what it sends to workers at once.
+_FREE = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true", _BATCH.replace(".", "__"): f"{BATCH_BYTES}b"}
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ SIDE_LONGS = 16
 #: Parts into which the edges of a node are dealt, so that the centre of a star is no task of its own.
 PARTS = 32
 #: Bytes of texts whose words are digested at once.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 17
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 

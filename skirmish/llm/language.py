@@ -30,6 +30,8 @@ SLOTS_BITS = 20
 #: Bits of slots at least, slots in a block, and bytes of all masks at most.
 LEAST_BITS, BLOCK, MOST_FILTER_BYTES = 16, 1 << 16, 256 << 20
 HASHES = 2
+#: Bytes of texts whose n-grams are looked up at once.
+STEP_BYTES = 1 << 17
 UNKNOWN = "und"
 
 #: ASCII letters in lower case; all other ASCII is a word break.
@@ -226,7 +228,7 @@ def identify(docs: DataFrame, model: BloomModel, id_col: str = "doc_id", text_co
         m = sent.value
         for b in batches:
             texts, names, score = raw_texts(b), [], []
-            for x, y in shards(map(len, texts)):
+            for x, y in shards(map(len, texts), STEP_BYTES):
                 n, s = m.predict(texts[x:y])
                 names += n
                 score += s.tolist()
@@ -249,7 +251,7 @@ def keep_identified(docs: DataFrame, model: BloomModel, least_score: float, text
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = raw_texts(b, text_col), []
-            for x, y in shards(map(len, texts)):
+            for x, y in shards(map(len, texts), STEP_BYTES):
                 names, score = sent.value.predict(texts[x:y])
                 keep += [n != UNKNOWN and s >= least_score for n, s in zip(names, score.tolist(), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -2,16 +2,18 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skirmish.llm import bpe, co_training, context_tree, decontamination, jaccard_join, language, licences, repetition, secret_scan
-from skirmish.llm.common import remainder_of
+from skirmish.llm.common import BATCH_BYTES, cut, drop, remainder_of
 from skirmish.llm.queries import tokenizer_path
 
 ODD = ["", "   \n\t ", "one", "<|endoftext|> a<|startoftext|>b", "ΑΣ Σ ΣΑΣ.", "İstanbul ǅ", "a b c\x85d\x1ce", "don't I'LL we've 123 ٣٤", "日本語 テキスト", "🙂 x", "é café", "x" * 3000, "a b" * 2000, "\x00\x01", "½ ² Ⅷ"]
@@ -588,3 +590,47 @@ def test_steps_of_buckets_are_read_back():
     parts = [np.unique(rng.integers(0, co_training.WORDS, n)) for n in (0, 1, 5, 300, 5000)] + [np.array([0]), np.array([255, 510, 511])]
     value, n = co_training.unsteps([co_training.steps(p) for p in parts])
     assert n.tolist() == [len(p) for p in parts] and (value == np.concatenate(parts)).all()
+
+
+def batch_sizes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    import corpus_pipeline
+
+    # 12 MB in one partition, which Spark would send at once
+    long = spark.range(0, 1200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"))
+    sizes = cut(long.mapInArrow(batch_sizes, "bytes bigint"))
+    assert 1 < sizes.count() and sizes.agg(F.max("bytes")).first()[0] < 1.1 * BATCH_BYTES
+    drop(sizes)
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        for given, least in (("64m", 2), ("1m", 10)):  # a smaller bound of the session's own stays
+            spark.conf.set(name, given)
+            corpus_pipeline.bpe_round_trip(spark, long, "")
+            got = [r.bytes for r in long.mapInArrow(batch_sizes, "bytes bigint").collect()]
+            assert len(got) > least and max(got) < 1.1 * BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_steps_over_texts_hold_little_memory():
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(300)).encode() for _ in range(1000)]
+    model = language.BloomModel(["a"], [("a", np.unique(language.grams(texts[:9])[0]))])
+    seen = []
+
+    def look_up():
+        for x, y in language.shards(map(len, texts), getattr(language, "STEP_BYTES", 8 << 20)):
+            seen.extend(model.predict(texts[x:y])[1].tolist())
+
+    for step in (lambda: [jaccard_join._node(f) for f in jaccard_join.all_shingles(texts, 5)], look_up):
+        jaccard_join._powers.cache_clear()
+        tracemalloc.start()
+        step()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 20e6
+    assert seen == model.predict(texts)[1].tolist()  # steps change nothing
